@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.llm.ngram_join import op5_ngram_jaccard
 from tidemark.llm.quality import op1_quality
+from tidemark.llm.substring_dedup import op10_substring_dedup
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
