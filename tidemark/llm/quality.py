@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.common import table, written
+from tidemark.llm.common import small_batches, table, written
 
 #: Ratios in [0, 1] that a sketch is kept of, with the slack added to their fence.
 RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.3, "repeat_ratio": 0.35, "upper_ratio": 0.3, "mark_ratio": 0.08}
@@ -104,6 +104,7 @@ def quality_features(docs: DataFrame, keep: list[str], text_col: str = "text") -
             q = pa.StructArray.from_arrays([pa.array(got[c], pa.int64()) for c in _COUNTS], names=list(_COUNTS))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], q], names=[*keep, "__q"])
 
+    small_batches(docs.sparkSession)
     return small.mapInArrow(run, schema)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm import bpe
 from tidemark.llm import textkit as tk
-from tidemark.llm.common import table, written
+from tidemark.llm.common import small_batches, table, written
 from tidemark.llm.secret_scan import Rule, rule_spans
 
 #: Pre-tokens of a block when it is built.
@@ -126,6 +126,7 @@ def build_trees(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
             trees = [pa.array([tree_of(s[i]) for s in sums], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column("__d"), b.column("__r"), *trees], names=["doc_id", "row", "chars", "tokens"])
 
+    small_batches(docs.sparkSession)
     return keyed.mapInArrow(run, schema)
 
 
@@ -155,6 +156,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary:
             cols = [pa.array([d.text for d in done]), pa.array([d.chars for d in done], ints), pa.array([d.tokens for d in done], ints), pa.array([d.reencoded for d in done], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column("__d"), b.column("__r"), *cols], names=schema.names)
 
+    small_batches(docs.sparkSession)
     return both.mapInArrow(run, schema)
 
 
