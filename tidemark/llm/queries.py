@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import op3_decontaminate
+from tidemark.llm.html_extract import op8_html_extract
 from tidemark.llm.language_id import op9_language_id
 from tidemark.llm.length_buckets import op7_length_buckets
 from tidemark.llm.ngram_join import op5_ngram_jaccard
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
     "op7_length_buckets": op7_length_buckets,
+    "op8_html_extract": op8_html_extract,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
 }
