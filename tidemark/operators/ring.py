@@ -21,7 +21,7 @@ def capacity_weights(nodes: DataFrame, capacity: str = "capacity") -> DataFrame:
     known = F.when(F.col(capacity) > 0, F.col(capacity))
     one_row = nodes.agg(F.min(known).alias("__least"))
     weight = F.least(F.lit(MAX_WEIGHT), F.floor((known + F.floor(F.col("__least") / 2)) / F.col("__least")))
-    return nodes.crossJoin(F.broadcast(one_row)).withColumn("weight", F.coalesce(weight, F.lit(1)).cast("int")).drop("__least")
+    return nodes.crossJoin(F.broadcast(one_row)).withColumn("weight", F.when(F.col(capacity) > 0, weight).otherwise(1).cast("int")).drop("__least")
 
 
 def ring_points(nodes: DataFrame, vnodes: int = VNODES) -> DataFrame:

@@ -65,7 +65,7 @@ CAPACITY_WEIGHTS = """
 WITH c AS (SELECT c_nationkey, sum(floor(c_acctbal)::BIGINT)::BIGINT AS cap FROM customer GROUP BY 1),
 n AS (SELECT n_name AS node, CASE WHEN n_nationkey % 9 <> 0 THEN cap END AS capacity FROM nation LEFT JOIN c ON c_nationkey = n_nationkey),
 m AS (SELECT min(capacity) AS least FROM n WHERE capacity > 0)
-SELECT node, capacity, coalesce(least(16, CASE WHEN capacity > 0 THEN (capacity + m.least // 2) // m.least END), 1)::INTEGER AS weight FROM n, m"""
+SELECT node, capacity, (CASE WHEN capacity > 0 THEN least(16, (capacity + m.least // 2) // m.least) ELSE 1 END)::INTEGER AS weight FROM n, m"""
 
 
 def weighted_ring(spark, d):
