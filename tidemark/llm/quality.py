@@ -60,15 +60,13 @@ def count_features(texts: pa.Array) -> dict[str, np.ndarray]:
     hit = at[_repeated(wh + salt[doc[at]], later_only=False)]
     repeat = tk.covered(hit, 3, len(h))
     # lines end at a newline or at the end of their text
-    newline = np.zeros(len(w.data) + 1, dtype=bool)
-    newline[:-1] = w.data == 10
-    ends = np.union1d(np.flatnonzero(newline), w.text_at[1:])
-    starts = np.union1d(np.flatnonzero(newline[:-1]) + 1, w.text_at[:-1])
+    newline = np.append(np.flatnonzero(w.data == 10), len(w.data))
+    starts = np.union1d(newline[:-1] + 1, w.text_at[:-1])
     starts = starts[starts < len(w.data)]
-    ends = ends[np.searchsorted(ends, starts)]
-    has_word = np.searchsorted(w.start, ends) > np.searchsorted(w.start, starts)
-    starts, ends = starts[has_word], ends[has_word]
     line_doc = np.searchsorted(w.text_at, starts, "right") - 1
+    ends = np.minimum(newline[np.searchsorted(newline, starts)], w.text_at[line_doc + 1])
+    has_word = np.searchsorted(w.start, ends) > np.searchsorted(w.start, starts)
+    starts, ends, line_doc = starts[has_word], ends[has_word], line_doc[has_word]
     dup = _repeated(tk.span_hashes(w.data, starts, ends) + salt[line_doc], later_only=True)
     per_byte = lambda x: tk.sums_in(x, w.text_at)
     return {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from tidemark.llm import oracles
 from tidemark.llm.decontaminate import op3_decontaminate
 from tidemark.llm.html_extract import op8_html_extract
 from tidemark.llm.language_id import op9_language_id
@@ -24,5 +26,12 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "pipeline": corpus_pipeline.run,
+}
+ORACLES = {
+    "op1_quality": oracles.OP1.strip(),
+    "op3_decontaminate": oracles.OP3.strip(),
+    "op4_secret_scan": oracles.OP4.strip(),
+    "op5_ngram_jaccard": oracles.OP5.strip(),
+    "op10_substring_dedup": oracles.OP10.strip(),
 }
-ORACLES: dict[str, str] = {}
