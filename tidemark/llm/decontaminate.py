@@ -19,8 +19,10 @@ MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 5, 6, 8, 9))
 SPAN = 10
 WINDOW = 13
 AGREE = 11
-#: Benchmarks of up to this many seeds (24 bytes each and their token arrays) are broadcast; larger ones are joined by shuffle.
+#: Benchmarks of up to this many seeds (32 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_SEEDS = 500_000
+#: Shifts to verify (with an item's tokens each) of up to this many are broadcast to their documents; more are joined by shuffle.
+BROADCAST_SHIFTS = 50_000
 #: Hit documents up to this many are broadcast back; more are joined by shuffle.
 BROADCAST_HITS = 200_000
 
@@ -31,33 +33,49 @@ def tokens(text: Column) -> Column:
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, arr: str, pos: str) -> DataFrame:
-    """Each row of ``df`` once per window that starts in it and mask, with __seed and ``pos``."""
-    at = df.where(F.size(arr) >= SPAN).select("*", F.explode(F.sequence(F.lit(0), F.size(arr) - SPAN)).alias(pos))
-    seeds = [F.xxhash64(F.lit(m), *(F.get(arr, F.col(pos) + p) for p in mask)) for m, mask in enumerate(MASKS)]
-    return at.select("*", F.explode(F.array(*seeds)).alias("__seed"))
+def _seeds(df: DataFrame, arr: str, pos: str, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` once per window of SPAN tokens and mask, with ``pos`` (its first token) and ``seed``.
+
+    The token array stays behind: rows after the explode are a few words wide,
+    however long the text.
+    """
+    n = F.size(arr)
+    at = df.select(*keep, arr, F.explode(F.when(n >= SPAN, F.sequence(F.lit(0), F.greatest(n - SPAN, F.lit(0)))).otherwise(F.array().cast("array<int>"))).alias(pos))
+    seeds = [F.xxhash64(F.lit(m), *(F.get(arr, F.col(pos) + p) for p in mask)).alias(f"s{m}") for m, mask in enumerate(MASKS)]
+    each = at.select(*keep, pos, *seeds)
+    return each.select(*keep, pos, F.explode(F.array(*(f"s{m}" for m in range(len(MASKS))))).alias("seed"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, row, item_id) once per document and benchmark item that overlap; row is xxhash64(text).
 
-    Texts and items under SPAN tokens have no seeds and never overlap; items of
-    SPAN to WINDOW - 1 tokens are compared whole and may differ in two tokens.
-    Null texts overlap nothing; repeated rows are one document.
+    A hit gives a diagonal: a shift of the item against the text. Tokens are
+    compared along it, and the overlap counts if AGREE of WINDOW tokens in a row
+    agree (all but two of an item of SPAN to WINDOW - 1 tokens). Texts and items
+    under SPAN tokens have no seeds and never overlap. Null texts overlap
+    nothing; repeated rows are one document.
     """
-    items = benchmark.where("text is not null").select("item_id", tokens(F.col("text")).alias("__item"))
-    seeds = written(_seeds(items, "__item", "__q"), "seeds")
+    items = written(benchmark.where("text is not null").select("item_id", F.xxhash64("text").alias("item_row"), tokens(F.col("text")).alias("item")).distinct(), "items")
+    seeds = written(_seeds(items, "item", "q", ["item_id", "item_row"]).withColumnRenamed("seed", "item_seed"), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
-    seeds = seeds.withColumnRenamed("__seed", "__item_seed")
-    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("__doc"))
-    hits = _seeds(texts, "__doc", "__p").join(F.broadcast(seeds) if small else seeds, F.col("__seed") == F.col("__item_seed"))
-    shift = F.col("__p") - F.col("__q")
-    length = F.least(F.lit(WINDOW), F.size("__item"))
-    lo = F.greatest(F.lit(0), F.col("__q") + SPAN - length, -shift)
-    hi = F.least(F.col("__q"), F.size("__item") - length, F.size("__doc") - shift - length)
-    agree = lambda s: F.size(F.filter(F.zip_with(F.slice("__doc", shift + s + 1, length), F.slice("__item", s + 1, length), lambda a, b: a == b), lambda x: x))
-    held = (lo <= hi) & F.exists(F.sequence(F.least(lo, hi), hi), lambda s: agree(s) >= length - (WINDOW - AGREE))
-    return hits.where(held).select("doc_id", "row", "item_id").distinct()
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("doc"))
+    hits = _seeds(texts, "doc", "p", ["doc_id", "row"]).join(F.broadcast(seeds) if small else seeds, F.col("seed") == F.col("item_seed"))
+    shifts = hits.select("doc_id", "row", "item_id", "item_row", (F.col("p") - F.col("q")).alias("shift")).distinct()
+    found = written(shifts.join(items, ["item_id", "item_row"]).groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("hits")), "hits")
+    found = found.withColumnsRenamed({"doc_id": "__d", "row": "__r"})
+    n_hits = found.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0)).alias("n")).first()["n"]
+    side = F.broadcast(found) if small and n_hits <= BROADCAST_SHIFTS else found
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row") == F.col("__r"))
+    both = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").join(side, same).select("doc_id", "row", tokens(F.col("text")).alias("doc"), "hits")
+
+    def holds(h: Column) -> Column:
+        length = F.least(F.lit(WINDOW), F.size(h["item"]))
+        lo, hi = F.greatest(F.lit(0), -h["shift"]), F.least(F.size(h["item"]), F.size("doc") - h["shift"]) - length
+        agree = lambda s: F.size(F.filter(F.zip_with(F.slice("doc", h["shift"] + s + 1, length), F.slice(h["item"], s + 1, length), lambda a, b: a == b), lambda x: x))
+        return (lo <= hi) & F.exists(F.sequence(F.least(lo, hi), hi), lambda s: agree(s) >= length - (WINDOW - AGREE))
+
+    kept = F.transform(F.filter("hits", holds), lambda h: h["item_id"])
+    return both.select("doc_id", "row", F.explode(kept).alias("item_id")).distinct()
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
