@@ -5,20 +5,25 @@ put in one order for all documents, rare n-grams first (frequencies from a
 count-min sketch, ties by hash), and split in two blocks: a document's *head*,
 its first n - ceil(t n) + 1 n-grams, and the rest. Two sets with Jaccard >= t
 share an n-gram of both heads, so the head block alone finds every pair; its
-product accumulates overlap counts, and pairs whose count plus what their sizes
-and positions still allow stays below the needed overlap are discarded. The
-rest of the product is taken for the pairs that are left.
+product accumulates overlap counts, and pairs are discarded whose sizes and
+positions no longer allow the overlap they need. The rest of the product is
+taken for the pairs that are left.
 
 Documents with equal sets are one row of X. Groups of near copies would still
-fill the product with the square of their size, and only components are wanted.
-So the product is taken in two rounds: first each row with its neighbours in
-each column, then only pairs of rows that the first round left in different
-components.
+fill the product with the square of their size, and only components are wanted:
+
+1. Rows that share several columns with a common neighbour form clusters with a
+   pivot. A row is then known by its difference from the pivot, and an overlap
+   within a cluster by two differences: |x ^ y| = |dx| + |dy| - 2 |dx & dy|.
+   Pairs that are close without a shared difference are linked through the
+   cluster's closest row; others need many shared differences, which a product
+   over the (short) differences finds, rare ones first.
+2. Pairs of different clusters come from the product of the head block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +32,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import countmin as cm
 from tidemark.llm import textkit as tk
-from tidemark.llm.common import table, written
+from tidemark.llm.common import small_batches, table, written
 from tidemark.llm.components import components
 
 MAX_WIDTH = 1 << 24
-MIN_WIDTH = 1 << 16
 #: Bits of the filter that tells tasks which documents' sets are still needed.
 NEED_BITS = 1 << 26
 
@@ -69,12 +73,7 @@ def head_length(n: np.ndarray, t: int) -> np.ndarray:
     return n - (t * n + 99) // 100 + 1
 
 
-def _needed(a: Column, b: Column, t: int) -> Column:
-    """Whether an overlap of ``a`` reaches Jaccard t / 100 for sizes that add up to ``b``."""
-    return (100 + t) * a >= t * b
-
-
-def _bits_of(spark: SparkSession, keys: DataFrame) -> np.ndarray:
+def _bits_of(keys: DataFrame) -> np.ndarray:
     """One bit per hashed key, of a fixed size: built per task, merged by an OR per block."""
     block = 1 << 16
 
@@ -99,47 +98,140 @@ def _bits_of(spark: SparkSession, keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough, with the overlap."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
+    return left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
+
 
+def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) whose sets overlap enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit, over = [], []
+            hit = []
             for i, (x, y) in enumerate(zip(batch.column("ga"), batch.column("gb"), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate([x, y]), kind="stable")  # merges two sorted runs
                 n = int((both[1:] == both[:-1]).sum())
                 if 100 * n >= t * (len(x) + len(y) - n):
                     hit.append(i)
-                    over.append(n)
             at = pa.array(hit, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(over, pa.int64())], names=["a", "b", "overlap"])
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+
+    return _with_sets(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def _clusters(head: DataFrame, sets_of: Callable[[DataFrame], DataFrame], t: int) -> DataFrame:
+    """(node, cluster, n, diff, far) of rows with a pivot: ``cluster`` is the pivot, ``diff`` the difference from it.
+
+    ``far`` is (100 + t) |diff| - (100 - t) n: two rows of a cluster that share
+    no difference link when their ``far`` add up to 0 or less.
+    """
+    hub = head.select("node", F.min("node").over(Window.partitionBy("gram")).alias("hub")).where("hub != node")
+    best = hub.groupBy("node", "hub").agg(F.count("*").alias("c")).where("c > 1").groupBy("node").agg(F.max_by("hub", F.struct("c", F.bitwise_not("hub"))).alias("hub"))
+    best = written(best, "hubs")
+    pairs = best.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    for _ in range(2):  # a pivot's own pivot, twice: members of a group mostly meet in one
+        up = best.select(F.col("node").alias("b"), F.col("hub").alias("c"))
+        pairs = pairs.join(up, "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+    pairs = pairs.where("a != b").unionByName(pairs.select(F.col("b").alias("a"), "b").distinct())
+    pairs = written(pairs.groupBy("a").agg(F.min_by("b", F.col("a") != F.col("b")).alias("b")), "pivots")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, sizes, diffs = [], [], []
+            for i, (x, y) in enumerate(zip(batch.column("ga"), batch.column("gb"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                diff = np.setxor1d(x, y, assume_unique=True)
+                if 2 * len(diff) <= len(x) + len(y):  # the pivot is of use
+                    keep.append(i)
+                    sizes.append(len(x))
+                    diffs.append(diff.view(np.int64))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(sizes, pa.int64()), pa.array(diffs, pa.list_(pa.int64()))], names=["node", "cluster", "n", "diff"])
 
-    return both.mapInArrow(run, "a long, b long, overlap long")
+    found = _with_sets(pairs, sets_of(pairs)).mapInArrow(run, "node long, cluster long, n long, diff array<long>")
+    return written(found.dropDuplicates(["node"]).withColumn("far", (100 + t) * F.size("diff") - (100 - t) * F.col("n")), "members")
+
+
+def _near_links(member: DataFrame, t: int) -> DataFrame:
+    """Links of each row to the row of its cluster with the least ``far``, where these two alone are enough.
+
+    Rows that are close to each other without shared differences are both close
+    to that row, so their component is complete.
+    """
+    least = member.groupBy("cluster").agg(F.min(F.struct("far", "node")).alias("m"))
+    return member.join(least, "cluster").where((F.col("far") + F.col("m.far") <= 0) & (F.col("node") != F.col("m.node"))).select(F.col("node").alias("a"), F.col("m.node").alias("b"))
+
+
+def _crossing(rows: DataFrame, key: list[str], carried: list[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """Two sides and a condition for a join of ``rows`` (node, comp) with themselves on ``key``, across components.
+
+    The left side lacks each key's largest component, so a key with one large
+    component and few other rows costs few comparisons.
+    """
+    counted = rows.groupBy(*key, "comp").agg(F.count("*").alias("m"))
+    top = counted.groupBy(*key).agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    rows = written(rows.join(top, key), "crossing")
+    named = lambda side, df: df.select(*key, *(["top"] if side == "y" else []), *(F.col(c).alias(f"{side}_{c}") for c in ("node", "comp", *carried)))
+    on = (F.col("x_comp") != F.col("y_comp")) & ((F.col("y_comp") == F.col("top")) | (F.col("x_node") < F.col("y_node")))
+    return named("x", rows.where("comp != top")), named("y", rows), on
+
+
+def _pair(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
+def _difference_links(member: DataFrame, near: DataFrame, t: int) -> DataFrame:
+    """Links within clusters that need shared differences, between rows that ``near`` leaves apart."""
+    comp = near.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    labelled = member.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    each = labelled.select("cluster", "node", "comp", "far", F.size("diff").alias("d"), F.explode("diff").alias("gram"))
+    each = each.withColumn("df", F.count("*").over(Window.partitionBy("cluster", "gram")))
+    each = each.withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("df", "gram")) - 1).where("df > 1")
+    x, y, across = _crossing(each.select("cluster", "gram", "node", "comp", "far", "d", "pos"), ["cluster", "gram"], ["far", "d", "pos"])
+    shared = F.ceil((F.col("x_far") + F.col("y_far")) / (2.0 * (100 + t)))  # so many at least
+    able = (F.col("x_pos") <= F.col("x_d") - shared) & (F.col("y_pos") <= F.col("y_d") - shared)
+    pairs = _pair(x.join(y, ["cluster", "gram"]).where(across & able))
+    known = member.select("node", "diff", "far")
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("diff").alias("da"), F.col("far").alias("fa")), "a").join(known.select(F.col("node").alias("b"), F.col("diff").alias("db"), F.col("far").alias("fb")), "b")
+    return both.where(F.col("fa") + F.col("fb") <= 2 * (100 + t) * F.size(F.array_intersect("da", "db"))).select("a", "b")
+
+
+def _head_links(head: DataFrame, member: DataFrame, sets_of: Callable[[DataFrame], DataFrame], comp: DataFrame, t: int) -> DataFrame:
+    """Links between rows of different clusters, or without one, that ``comp`` leaves apart."""
+    own = member.select("node", "cluster").unionByName(member.select(F.col("cluster").alias("node"), "cluster")).distinct()
+    rows = head.join(own, "node", "left").join(comp, "node", "left")
+    rows = rows.select("gram", "node", "n", "pos", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("comp", "node").alias("comp"))
+    x, y, across = _crossing(rows, ["gram"], ["cluster", "n", "pos"])
+    xn, yn = F.col("x_n"), F.col("y_n")
+    needed = F.ceil(t * (xn + yn) / F.lit(100.0 + t))
+    able = (needed <= F.least(xn, yn) - (xn == yn).cast("int")) & (F.col("x_pos") <= xn - needed) & (F.col("y_pos") <= yn - needed)
+    pairs = written(_pair(x.join(y, ["gram"]).where(across & able & (F.col("x_cluster") != F.col("y_cluster")))), "pairs")
+    return _verified(pairs, sets_of(pairs), t)
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, t: int = 90) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row; documents link when 100 * Jaccard >= t.
+    """(doc_id, row, n_shingles, component_id) of every row; documents link when 100 * Jaccard >= t.
 
     component_id is the smallest doc_id that links lead to. Null and texts
     without words have no n-grams and no links. Rows of one doc_id count each
     by its own text. A row without doc_id takes its group's smallest doc_id,
-    null if there is none. Sets and n-grams are told apart by 64-bit hashes.
+    null if there is none. ``row`` is xxhash64(text). Sets and n-grams are told
+    apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    small_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.pieces(batches, "text"):
             _, first, node = shingle_sets(b.column("text"), k)
             n = np.diff(first)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(node, mask=n == 0)], names=["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(n), pa.array(node, mask=n == 0)], names=["doc_id", "row", "n", "node"])
 
-    rows = written(texts.mapInArrow(named, "doc_id long, n long, node long"), "sets")
+    rows = written(texts.mapInArrow(named, "doc_id long, row long, n long, node long"), "sets")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    width = cm.width_for(total, MIN_WIDTH, MAX_WIDTH)
+    width = cm.width_for(total, MAX_WIDTH)
 
     def keys(b: pa.RecordBatch) -> np.ndarray:
         w = tk.lower_ascii(tk.words(b.column("text")))
@@ -156,61 +248,62 @@ def jaccard_components(docs: DataFrame, k: int = 3, t: int = 90) -> DataFrame:
             order = np.lexsort((wh, cm.code_of(codes.value, wh, width), doc))
             pos = np.arange(len(wh)) - first[doc]
             fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], dtype=bool)
-            take = (pos < head_length(n, t)[doc]) & fresh[doc]
+            able = fresh & (t * (n + 1) <= 100 * n)  # smaller sets have no partner but their copies
+            take = (pos < head_length(n, t)[doc]) & able[doc]
             d = doc[take]
             yield pa.RecordBatch.from_arrays([pa.array(wh[order][take].view(np.int64)), pa.array(node[d]), pa.array(n[d].astype(np.int32)), pa.array(pos[take].astype(np.int32))], names=["gram", "node", "n", "pos"])
 
+    keyed = texts.select(F.coalesce("doc_id", F.lit(0)).alias("id"), "text")
+    texts = texts.select("text")
     head = texts.mapInArrow(heads, "gram long, node long, n int, pos int")
     head = head.repartition("gram").dropDuplicates(["gram", "node"])
     by_gram = Window.partitionBy("gram")
     head = written(head.withColumn("df", F.count("*").over(by_gram)).where("df > 1").drop("df"), "heads")
 
-    # round 1: neighbours by size in each column
-    w = by_gram.orderBy("n", "node")
-    near = head.select("node", "n", F.lag("node").over(w).alias("p"), F.lag("n").over(w).alias("pn")).where(f"p is not null and 100 * pn >= {t} * n")
-    near = written(near.groupBy(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).agg(F.count("*").alias("c")), "near")
-    need = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     reps = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    need = spark.sparkContext.broadcast(_bits_of(spark, need))
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in tk.pieces(batches, "text"):
-            wh, first, node = shingle_sets(b.column("text"), k)
-            at = tk.mix(node.view(np.uint64)) & np.uint64(NEED_BITS - 1)
-            wanted = (need.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            take = [i for i in np.flatnonzero(wanted & (np.diff(first) > 0)) if node[i] not in seen and not seen.add(node[i])]
-            yield pa.RecordBatch.from_arrays([pa.array(node[take]), pa.array([wh[first[i] : first[i + 1]].tobytes() for i in take], pa.binary())], names=["node", "grams"])
-
-    sets = written(texts.mapInArrow(sets_of, "node long, grams binary").dropDuplicates(["node"]), "grams")
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    links = written(_verified(best.select("a", "b"), sets, t), "links")
-    comp = components(links)
-
-    # round 2: pairs of different components, counted over the head block
-    member = head.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    counted = member.groupBy("gram", "comp").agg(F.count("*").alias("m"))
-    top = counted.groupBy("gram").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    member = written(member.join(top.drop("comps"), "gram"), "members")
-    x = member.where("comp != top").select("gram", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "comp")))
-    y = member.select("gram", "top", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "comp")))
-    pair = (F.col("x_comp") != F.col("y_comp")) & (100 * F.col("y_n") >= t * F.col("x_n")) & (100 * F.col("x_n") >= t * F.col("y_n"))
-    pair &= (F.col("y_comp") == F.col("top")) | (F.col("x_node") < F.col("y_node"))
-    product = (
-        x.join(y, (x["gram"] == y["gram"]) & pair).drop(y["gram"])
-        .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"), (F.col("x_n") + F.col("y_n")).alias("sizes"), "x_pos", "y_pos", "x_n", "y_n", "x_node")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("c"), F.min(F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))).alias("left"), F.first("sizes").alias("sizes"))
-        .where(_needed(F.col("c") - 1 + F.col("left"), F.col("sizes"), t))
-    )
-    more = written(_verified(product.select("a", "b"), sets, t), "links")
-    comp = components(links.select("a", "b").union(more.select("a", "b")))
+    reps = written(reps, "reps")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(node, grams) of the sets that ``pairs`` (a, b) names, from one document of each."""
+        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node").select(F.coalesce("doc_id", F.lit(0)).alias("id"))
+        need = spark.sparkContext.broadcast(_bits_of(ids))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = tk.mix(b.column("id").to_numpy().view(np.uint64)) & np.uint64(NEED_BITS - 1)
+                wanted = (need.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                for c in tk.pieces(iter([b.filter(pa.array(wanted))]), "text"):
+                    wh, first, node = shingle_sets(c.column("text"), k)
+                    grams = [wh[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(grams, pa.binary())], names=["node", "grams"])
+
+        return keyed.mapInArrow(run, "node long, grams binary")
+
+    member = _clusters(head, sets_of, t)
+    near = written(_near_links(member, t), "near")
+    links = near.unionByName(_difference_links(member, near, t))
+    comp = written(components(links), "comps")
+    more = _head_links(head, member, sets_of, comp, t)
+    of = lambda end, to: comp.select(F.col("node").alias(end), F.col("comp").alias(to))
+    more = more.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
+    over = written(components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "comps").select(F.col("node").alias("label"), F.col("comp").alias("top"))
+    comp = comp.join(over, F.col("comp") == F.col("label"), "left").select("node", F.coalesce("top", "comp").alias("comp")).unionByName(over.select(F.col("label").alias("node"), F.col("top").alias("comp")))
     label = reps.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     label = label.join(least, "comp").select("node", "component_id")
-    return rows.join(label, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(label, "node", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicate_filter(docs: DataFrame, k: int = 5, t: int = 80) -> DataFrame:
+    """One document of each component stays, the one with the smallest doc_id; columns are unchanged.
+
+    Rows without doc_id stay, and so do repeated rows of the document that stays.
+    """
+    gone = jaccard_components(docs, k, t).where("component_id < doc_id").select(F.col("doc_id").alias("__d"), F.col("row").alias("__r")).distinct()
+    keyed = docs.withColumn("__row", F.xxhash64("text"))
+    return keyed.join(gone, (F.col("doc_id") == F.col("__d")) & (F.col("__row") == F.col("__r")), "left_anti").select(*docs.columns)
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document: 3-word shingles, Jaccard at least 0.9."""
-    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
+    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90).drop("row")
