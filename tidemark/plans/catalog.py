@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import inspect
 
-from tidemark.plans import placement, scalars, series, state, storage
+from tidemark.plans import access, placement, scalars, series, state, storage
 
 FLAGSHIP = "gc_sweep"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (storage, placement, state, series, scalars):
+for _module in (storage, placement, state, series, scalars, access):
     for _name, _f in list(vars(_module).items()):
         if inspect.isfunction(_f) and _f.__module__ == _module.__name__ and not _name.startswith("_"):
             QUERIES[_name] = _f
