@@ -215,8 +215,8 @@ def test_edits_reencode_little(spark):
     rng = random.Random(7)
     data = [*awkward(rng), (20, prose(rng, 20000) + " a.b@mail.example " + prose(rng, 20000))]
     docs = docs_of(spark, data, "clash")
-    trees, edits = token_counts.build_trees(docs), token_counts.mask_edits(docs)
-    got = [r for r in token_counts.apply_edits(docs, trees, edits).collect() if r["doc_id"] == 20]
+    trees = token_counts.build_trees(docs)
+    got = [r for r in token_counts.apply_edits(docs.withColumn("edits", token_counts.mask_edits(F.col("text"))), trees).collect() if r["doc_id"] == 20]
     assert len(got) == 1 and "[EMAIL]" in got[0]["text"] and got[0]["tokens"][1] == len(bpe.encode(got[0]["text"])) and got[0]["reencoded"] < 3000
     totals = {(r["doc_id"], r["row"]): r["tokens"][1] for r in trees.collect()}
     want = collections.Counter(len(bpe.encode(t or "")) for _, t in {x for x in data})

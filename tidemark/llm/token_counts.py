@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,18 +130,18 @@ def build_trees(docs: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     return keyed.mapInArrow(run, schema)
 
 
-def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
-    """(doc_id, row, text, chars, tokens, reencoded) of the documents that ``edits`` (doc_id, row, edits) names.
+def apply_edits(docs: DataFrame, trees: DataFrame, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
+    """(doc_id, row, text, chars, tokens, n_edits, reencoded) of the rows of ``docs`` (doc_id, text, edits) with edits.
 
-    ``edits`` holds arrays of EDITS by ascending start that do not overlap, in
-    places of the old text. Documents without a tree are left out.
+    ``edits`` are arrays of EDITS by ascending start that do not overlap, in
+    places of the old text. Only texts with edits are shuffled to their trees.
+    Repeated rows are one document; documents without a tree are left out.
     """
-    same = lambda a, b: F.col(f"{a}.__d").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.__r").eqNullSafe(F.col(f"{b}.row"))
-    both = (
-        _keyed(docs).alias("d").join(edits.dropDuplicates(["doc_id", "row"]).alias("e"), same("d", "e")).join(trees.dropDuplicates(["doc_id", "row"]).alias("t"), same("d", "t"))
-        .select("d.__d", "d.__r", "d.__text", "t.chars", "t.tokens", F.col("e.edits").cast(EDITS).alias("edits"))
-    )
-    schema = both.select(F.col("__d").alias("doc_id"), F.col("__r").alias("row"), F.col("__text").alias("text"), "chars", "tokens").schema.add("reencoded", "long")
+    same = F.col("d.__d").eqNullSafe(F.col("t.doc_id")) & F.col("d.__r").eqNullSafe(F.col("t.row"))
+    keyed = docs.select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__r"), F.coalesce("text", F.lit("")).alias("__text"), F.col("edits").cast(EDITS).alias("edits"))
+    keyed = keyed.where(F.size("edits") > 0).dropDuplicates(["__d", "__r"])
+    both = keyed.alias("d").join(trees.dropDuplicates(["doc_id", "row"]).alias("t"), same).select("d.__d", "d.__r", "d.__text", "t.chars", "t.tokens", "d.edits")
+    schema = both.select(F.col("__d").alias("doc_id"), F.col("__r").alias("row"), F.col("__text").alias("text"), "chars", "tokens").schema.add("n_edits", "long").add("reencoded", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = bpe.Counts(vocabulary)
@@ -153,7 +153,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary:
                     doc.edit(e["start"], e["end"], e["text"] or "")
                 done.append(doc)
             ints = pa.list_(pa.int32())
-            cols = [pa.array([d.text for d in done]), pa.array([d.chars for d in done], ints), pa.array([d.tokens for d in done], ints), pa.array([d.reencoded for d in done], pa.int64())]
+            cols = [pa.array([d.text for d in done]), pa.array([d.chars for d in done], ints), pa.array([d.tokens for d in done], ints), pa.array([len(x) for x in b.column("edits").to_pylist()], pa.int64()), pa.array([d.reencoded for d in done], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column("__d"), b.column("__r"), *cols], names=schema.names)
 
     small_batches(docs.sparkSession)
@@ -165,28 +165,24 @@ EMAIL = Rule("email", r"@[A-Za-z0-9]", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", 5)
 PHONE = Rule("phone", r"[0-9]{3}[ .-][0-9]{3}", r"\+?[0-9][0-9 .()-]{7,}[0-9]", 9)
 
 
-def mask_edits(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, edits) that replace e-mail addresses and telephone numbers, for documents with any."""
-    text = F.col("text")
+def mask_edits(text: Column) -> Column:
+    """Edits (EDITS) that replace e-mail addresses and telephone numbers; of overlapping ones the first."""
     spans = F.sort_array(F.concat(rule_spans(text, 0, EMAIL), rule_spans(text, 1, PHONE)))
-    apart = F.aggregate(  # of overlapping spans the first stays
+    return F.aggregate(
         spans,
         F.struct(F.lit(0).alias("at"), F.array().cast(EDITS).alias("out")),
         lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["kind"] == 0, "[EMAIL]").otherwise("[PHONE]").alias("text")))).alias("out"))),
         lambda acc: acc["out"],
     )
-    return docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), apart.alias("edits")).where(F.size("edits") > 0)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document as it is and with personal data masked, and how many characters were encoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = written(build_trees(docs), "trees")
-    edits = written(mask_edits(docs), "edits")
-    changed = apply_edits(docs, trees, edits)
-    sizes = edits.select(F.col("doc_id").alias("e_d"), F.col("row").alias("e_r"), F.size("edits").cast("long").alias("n_edits")).distinct()
-    after = changed.select(F.col("doc_id").alias("a_d"), F.col("row").alias("a_r"), F.get("tokens", F.lit(1)).cast("long").alias("after"), "reencoded").dropDuplicates(["a_d", "a_r"])
-    after = after.join(sizes, F.col("a_d").eqNullSafe(F.col("e_d")) & (F.col("a_r") == F.col("e_r")))
-    got = trees.join(after, F.col("doc_id").eqNullSafe(F.col("a_d")) & F.col("row").eqNullSafe(F.col("a_r")), "left")
+    maybe = F.col("text").rlike(EMAIL.hint) | F.col("text").rlike(PHONE.hint)
+    changed = apply_edits(docs.where(maybe).withColumn("edits", mask_edits(F.col("text"))), trees)
     n = F.get("tokens", F.lit(1)).cast("long")
-    return got.select("doc_id", n.alias("n_tokens"), F.coalesce("n_edits", F.lit(0)).alias("n_edits"), F.coalesce("after", n).alias("n_tokens_edited"), F.coalesce("reencoded", F.lit(0)).alias("chars_reencoded"))
+    after = changed.select(F.col("doc_id").alias("a_d"), F.col("row").alias("a_r"), n.alias("after"), "n_edits", "reencoded")
+    got = trees.select("doc_id", "row", n.alias("n_tokens")).join(after, F.col("doc_id").eqNullSafe(F.col("a_d")) & F.col("row").eqNullSafe(F.col("a_r")), "left")
+    return got.select("doc_id", "n_tokens", F.coalesce("n_edits", F.lit(0)).alias("n_edits"), F.coalesce("after", "n_tokens").alias("n_tokens_edited"), F.coalesce("reencoded", F.lit(0)).alias("chars_reencoded"))
