@@ -1,6 +1,6 @@
 """Count-min sketches built per partition, merged by a shuffle and broadcast at a bounded size.
 
-A sketch has DEPTH rows of ``width`` cells (a power of two). Partial sketches
+A sketch has DEPTH rows of ``width`` cells (a multiple of BLOCK). Partial sketches
 travel as compressed blocks of cells; blocks of one range are added up in one
 task, so no task or driver ever adds up a whole corpus of keys. What reaches the
 driver is one byte (or one bit) per cell: at most DEPTH * MAX_WIDTH of them.
@@ -24,7 +24,7 @@ _SALT = np.array([0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 def cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
     """Cell of each key in one row of the sketch."""
-    return (tk.mix(keys ^ _SALT[row]) & np.uint64(width - 1)).astype(np.int64)
+    return (tk.mix(keys ^ _SALT[row]) % np.uint64(width)).astype(np.int64)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -49,10 +49,10 @@ def _parts(row: int, keys: list[np.ndarray], width: int, most: int) -> Iterator[
     cut = np.flatnonzero(np.diff(block, prepend=-1))
     for a, b in zip(cut, [*cut[1:], len(at)], strict=True):
         gaps = np.diff(at[a:b] % BLOCK, prepend=0).astype(np.uint32)
-        yield row * (width // BLOCK or 1) + int(block[a]), int(b - a), pack(gaps), pack(np.minimum(count[a:b], most).astype(np.uint16))
+        yield row * (width // BLOCK) + int(block[a]), int(b - a), pack(gaps), pack(np.minimum(count[a:b], most).astype(np.uint16))
 
 
-def gathered(df: DataFrame, column: str, keys_of: Callable[[pa.RecordBatch], np.ndarray], width: int, finish: Callable[[np.ndarray], np.ndarray], buffer: int = 4_000_000) -> np.ndarray:
+def gathered(df: DataFrame, column: str, keys_of: Callable[[pa.RecordBatch], np.ndarray], width: int, finish: Callable[[np.ndarray], np.ndarray], buffer: int = 3_000_000) -> np.ndarray:
     """Merged sketch of the keys that ``keys_of`` finds in the rows of ``df``, at the driver.
 
     ``finish`` turns the saturating counts of a block into bytes, e.g. one bit
@@ -96,7 +96,7 @@ def gathered(df: DataFrame, column: str, keys_of: Callable[[pa.RecordBatch], np.
 
     parts = df.mapInArrow(run, "block int, n int, gaps binary, counts binary")
     blocks = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, cells binary")
-    per_row = width // BLOCK or 1
+    per_row = width // BLOCK
     out = np.zeros((DEPTH * per_row, size), np.uint8)
     for row in blocks.collect():  # at most one entry per block of a sketch of fixed size
         out[row["block"]] = unpack(row["cells"], size, np.uint8)
@@ -130,6 +130,6 @@ def is_repeated(bits: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
     return ok
 
 
-def width_for(n_keys: int, least: int, most: int) -> int:
-    """Smallest power of two that gives ``n_keys`` two cells each, between bounds."""
-    return min(most, max(least, 1 << max(0, int(2 * n_keys - 1).bit_length())))
+def width_for(n_keys: int, most: int) -> int:
+    """One and a half cells a row for each of ``n_keys``, in whole blocks up to ``most``: below that the load is alike at every size."""
+    return min(most, -(-(3 * n_keys // 2 + 1) // BLOCK) * BLOCK)

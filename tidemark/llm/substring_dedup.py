@@ -11,7 +11,7 @@
 3. The repeats of each document are joined to its text, whose covered words go.
 
 The broadcast sketch has DEPTH * MAX_WIDTH bits at most (64 MB), whatever the
-corpus. Beyond MAX_WIDTH / 2 windows the prefilter passes more windows; the
+corpus. Beyond MAX_WIDTH windows the prefilter passes more windows; the
 result stays the same.
 """
 
@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import countmin as cm
 from tidemark.llm import textkit as tk
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 
 WINDOW = 13
 MAX_WIDTH = 1 << 28
-MIN_WIDTH = 1 << 16
 #: Windows held before a task settles and sends them, and windows per bucket of the exact pass.
-HELD = 2_000_000
+HELD = 1_500_000
 PER_BUCKET = 1_000_000
-_CHUNK = "bucket int, n int, h1 binary, h2 binary, doc binary, row binary"
+_CHUNK = "bucket int, n int, h1 binary, h2 binary, doc binary, row binary, pos binary"
+_TYPES = (np.uint64, np.uint32, np.int64, np.int64, np.uint32)
 
 
 def _second_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -47,7 +47,7 @@ def _second_hash(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 def _chunks(bucket: np.ndarray, cols: tuple[np.ndarray, ...]) -> Iterator[tuple]:
     """Rows of _CHUNK, one per bucket, each sorted by document so that its columns compress."""
-    order = np.lexsort((cols[2], bucket))
+    order = np.lexsort((cols[4], cols[2], bucket))
     bucket, cols = bucket[order], [c[order] for c in cols]
     cut = np.flatnonzero(np.diff(bucket, prepend=np.iinfo(np.int32).min))
     for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True):
@@ -55,13 +55,13 @@ def _chunks(bucket: np.ndarray, cols: tuple[np.ndarray, ...]) -> Iterator[tuple]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "n", "h1", "h2", "doc", "row"])
+    types = (pa.int32(), pa.int32(), *[pa.binary()] * len(_TYPES))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in _CHUNK.split(", ")])
 
 
-def _settle(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _settle(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, later): an order by window and document, and which entries have a smaller document in the same window."""
-    order = np.lexsort((row, doc, h2, h1))
+    order = np.lexsort((doc, h2, h1))
     a, b, d = h1[order], h2[order], doc[order]
     new = np.ones(len(a), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -81,21 +81,22 @@ def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple
                 yield now, joined(held)
                 held = []
             now = bucket
-            held.append(tuple(cm.unpack(c, n, t) for c, t in zip(cols, (np.uint64, np.uint32, np.int64, np.int64), strict=True)))
+            held.append(tuple(cm.unpack(c, n, t) for c, t in zip(cols, _TYPES, strict=True)))
     if held:
         yield now, joined(held)
 
 
 def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
-    """(doc_id, row, hashes): window hashes of each document that start in a document with a smaller doc_id too.
+    """(doc_id, row, n, places): first words of each document's windows that start in a document with a smaller doc_id too.
 
     ``row`` is xxhash64(text) and tells rows with one doc_id apart. Rows without
     a doc_id neither have repeats nor cause any.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").alias("__text"))
     n_words = (keyed.agg(F.sum(F.octet_length("__text"))).first()[0] or 0) // 5
-    width = cm.width_for(n_words, MIN_WIDTH, MAX_WIDTH)
+    width = cm.width_for(n_words, MAX_WIDTH)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // PER_BUCKET)
 
     def keys(b: pa.RecordBatch) -> np.ndarray:
@@ -108,13 +109,12 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            h1, h2, doc, row = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, later = _settle(h1, h2, doc, row)
-            cols = [c[order] for c in (h1, h2, doc, row)]
-            same = np.zeros(len(order), dtype=bool)  # one entry for each window and row
-            same[1:] = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]) & (cols[2][1:] == cols[2][:-1]) & (cols[3][1:] == cols[3][:-1])
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            order, later = _settle(*cols[:3])
+            cols = [c[order] for c in cols]
             to = np.where(later, -1 - (tk.mix(cols[2].view(np.uint64)) % np.uint64(buckets)).astype(np.int32), (cols[0] % np.uint64(buckets)).astype(np.int32)).astype(np.int32)
-            return _batch(list(_chunks(to[~same], tuple(c[~same] for c in cols))))
+            cols[0], cols[1] = np.where(later, np.uint64(0), cols[0]), np.where(later, np.uint32(0), cols[1])
+            return _batch(list(_chunks(to, tuple(cols))))
 
         for b in tk.pieces(batches, "__text"):
             w = tk.words(b.column("__text"))
@@ -125,7 +125,7 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
             if len(at) == 0:
                 continue
             d = w.doc()[at]
-            held.append((wh, _second_hash(h, at, k), b.column("doc_id").to_numpy()[d], b.column("row").to_numpy()[d]))
+            held.append((wh, _second_hash(h, at, k), b.column("doc_id").to_numpy()[d], b.column("row").to_numpy()[d], (at - w.first[d]).astype(np.uint32)))
             n += len(at)
             if n >= HELD:
                 yield flush()
@@ -137,24 +137,26 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> DataFrame:
         """Windows whose smallest document is another; what a task has settled (buckets below 0) goes on as it is."""
         for bucket, cols in _read_chunks(batches):
             if bucket >= 0:
-                order, later = _settle(*cols)
+                order, later = _settle(*cols[:3])
                 cols = tuple(c[order][later] for c in cols)
                 to = -1 - (tk.mix(cols[2].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
             else:
                 to = np.full(len(cols[0]), bucket, np.int32)
             if len(to):
-                yield _batch(list(_chunks(to.astype(np.int32), (cols[0], np.zeros(len(to), np.uint32), cols[2], cols[3]))))
+                none = np.zeros(len(to), np.uint64)
+                yield _batch(list(_chunks(to, (none, none.astype(np.uint32), *cols[2:]))))
 
     def by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (h1, _, doc, row) in _read_chunks(batches):
-            order = np.lexsort((h1, row, doc))
-            h1, doc, row = h1[order], doc[order], row[order]
+        for _, (_, _, doc, row, pos) in _read_chunks(batches):
+            order = np.lexsort((pos, row, doc))
+            doc, row, pos = doc[order], row[order], pos[order]
             cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]))
-            hashes = [np.unique(h1[a:b]).tobytes() for a, b in zip(cut, [*cut[1:], len(doc)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(row[cut]), pa.array(hashes, pa.binary())], names=["doc_id", "row", "hashes"])
+            ends = [*cut[1:], len(doc)]
+            places = [cm.pack(np.diff(pos[a:b], prepend=np.uint32(0))) for a, b in zip(cut, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[cut]), pa.array(row[cut]), pa.array(np.array(ends) - cut, pa.int32()), pa.array(places, pa.binary())], names=["doc_id", "row", "n", "places"])
 
     found = keyed.mapInArrow(windows, _CHUNK).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(exact, _CHUNK)
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(by_doc, "doc_id long, row long, hashes binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(by_doc, "doc_id long, row long, n int, places binary")
 
 
 def _kept(w: tk.Words, gone: np.ndarray) -> list[bytes]:
@@ -179,23 +181,21 @@ def substring_dedup(docs: DataFrame, keep: list[str], k: int = WINDOW) -> DataFr
     with a smaller doc_id. Null and empty texts keep an empty text; texts under
     k words and rows without doc_id keep all words.
     """
-    found = repeated_windows(docs, k).withColumnsRenamed({"doc_id": "__d", "row": "__r"})
+    found = repeated_windows(docs, k).withColumnsRenamed({"doc_id": "__d", "row": "__r", "n": "__n", "places": "__places"})
     side = docs.select(*keep, F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__row"), F.coalesce("text", F.lit("")).alias("__text"))
-    both = side.join(found, (F.col("__doc") == F.col("__d")) & (F.col("__row") == F.col("__r")), "left").select(*keep, "hashes", "__text")
+    both = side.join(found, (F.col("__doc") == F.col("__d")) & (F.col("__row") == F.col("__r")), "left").select(*keep, "__n", "__places", "__text")
     schema = side.select(*keep).schema.add("__n_words", "long").add("__n_removed", "long").add("__text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tk.pieces(batches, "__text"):
             w = tk.words(b.column("__text"))
             gone = np.zeros(len(w.start), dtype=bool)
-            known = b.column("hashes")
-            if known.null_count < len(known):
-                wh, at = tk.window_hashes(tk.word_hashes(w), w.first, k)
-                lo, hi = np.searchsorted(at, w.first[:-1]), np.searchsorted(at, w.first[1:])
-                hit = [at[a:b][np.isin(wh[a:b], np.frombuffer(x, np.uint64))] for a, b, x in zip(lo, hi, known.to_pylist(), strict=True) if x]
-                gone = tk.covered(np.concatenate(hit), k, len(gone)) if hit else gone
+            known = zip(w.first, b.column("__n").to_pylist(), b.column("__places").to_pylist(), strict=False)
+            hit = [first + np.cumsum(cm.unpack(x, n, np.uint32)).astype(np.int64) for first, n, x in known if n]
+            if hit:
+                gone = tk.covered(np.concatenate(hit), k, len(gone))
             cols = [pa.array(np.diff(w.first)), pa.array(tk.sums_in(gone, w.first)), pa.array(_kept(w, gone), pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *cols], names=[*keep, "__n_words", "__n_removed", "__text"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *cols], names=[*keep, "__n_words", "__n_removed", "__text"])
 
     return both.mapInArrow(run, schema)
 
