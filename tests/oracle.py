@@ -16,12 +16,14 @@ def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     if hasattr(v, "item"):
         v = v.item()
     if isinstance(v, decimal.Decimal):
         return int(v) if v == v.to_integral_value() else float(v)
+    if isinstance(v, float) and v.is_integer():  # pandas holds integers with nulls as floats
+        return int(v)
     return round(v, 6) if isinstance(v, float) else v if isinstance(v, (bool, int)) else str(v)
 
 
