@@ -184,6 +184,12 @@ def test_jaccard_components_equal_brute_force(spark, k, t, seed):
     assert sorted((-1 if r[0] is None else r[0], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got.collect()) == plain_components(data, k, t)
 
 
+def test_key_bits_with_tasks_that_have_no_rows(spark):
+    wide, narrow = (ngram_join._bits_of(spark.range(3).repartition(n)) for n in (9, 1))
+    assert (wide == narrow).all() and np.unpackbits(wide).sum() == 3
+    assert not ngram_join._bits_of(spark.range(0)).any()
+
+
 def test_jaccard_of_empty_table(spark):
     assert ngram_join.jaccard_components(docs_of(spark, [])).count() == 0
 

@@ -82,7 +82,7 @@ def _bits_of(keys: DataFrame) -> np.ndarray:
         at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.uint64)
         part = (at // np.uint64(block)).astype(np.int32)
         cut = np.flatnonzero(np.diff(part, prepend=-1))
-        rows = [(int(part[a]), (at[a:b] % np.uint64(block)).astype(np.uint16).tobytes()) for a, b in zip(cut, [*cut[1:], len(at)], strict=True)]
+        rows = [(int(part[a]), (at[a:b] % np.uint64(block)).astype(np.uint16).tobytes()) for a, b in zip(cut, np.append(cut, len(at))[1:], strict=True)]  # a task without rows has no cuts
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
