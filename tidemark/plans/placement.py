@@ -16,7 +16,7 @@ def _nodes(spark, d):
 
 
 def _keys(spark, d):
-    return table(spark, d, "orders").where("o_orderkey % 8 = 1").select("o_orderkey", F.concat(F.lit("chunk-"), F.col("o_orderkey").cast("string")).alias("key"))
+    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("chunk-"), F.col("o_orderkey").cast("string")).alias("key"))
 
 
 def ring_points(spark, d):
