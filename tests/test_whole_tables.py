@@ -67,3 +67,71 @@ def test_ring_queries_match_their_sql_where_it_looks(spark, sf_dir, name, key):
     """The SQL looks at an eighth of the orders; on these the rows are the same."""
     got = query(spark, sf_dir, name)
     assert rows(got[got[key] % 8 == 1]) == rows(database(sf_dir).sql(catalog.ORACLES[name]).df())
+
+
+def test_tokens_of_all_events(spark, sf_dir):
+    best = {}
+    for e in pd.read_parquet(f"{sf_dir}/events.parquet").itertuples():
+        if e.event_type != "error" and (e.event_id % 4 == 0 or 3000 < e.event_id * 10):
+            best[e.event_id % 90] = max(best.get(e.event_id % 90, -1), e.event_id)
+    want = {(f"s{k}", best[k], best[k] % 2 == 0) for k in pd.read_parquet(f"{sf_dir}/supplier.parquet").s_suppkey if k in best}
+    got = query(spark, sf_dir, "token_redeem")
+    assert set(zip(got.secret, got.ordinal, got.consumes, strict=True)) == want
+    assert max(best.values()) >= 400
+
+
+def test_authorization_of_all_orders(spark, sf_dir):
+    caps = {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2}
+    want = {o.o_orderkey: o.o_orderpriority in caps and (o.o_custkey % 7 == 0 or o.o_custkey % 3 == caps[o.o_orderpriority]) for o in pd.read_parquet(f"{sf_dir}/orders.parquet").itertuples()}
+    got = query(spark, sf_dir, "call_authorization")
+    assert len(got) == len(want) and dict(zip(got.o_orderkey, got.allowed, strict=True)) == want
+
+
+def test_digest_and_clock_order_of_all_lines(spark, sf_dir):
+    lines = pd.read_parquet(f"{sf_dir}/lineitem.parquet")
+    newest = {}
+    for x in lines[lines.l_suppkey % 3 != 0].itertuples():
+        key = (x.l_orderkey, x.l_linenumber)
+        newest[key] = max(newest.get(key, ()), (x.l_shipdate, x.l_partkey, str(x.l_suppkey), int(x.l_quantity)))
+    want = {}
+    for (key, volume), x in newest.items():
+        digest, n = want.get(volume, (0x5110000000000001, 0))
+        want[volume] = (digest ^ fnv(f"{key}|{x[3]}"), n + 1)
+    got = query(spark, sf_dir, "map_digest")
+    assert {v: (int(x), n) for v, x, n in zip(got.volume, got.digest, got.mapped, strict=True)} == want
+    got = query(spark, sf_dir, "hlc_order")
+    counts = collections.Counter()
+    for x in lines.itertuples():
+        a, b = (x.l_partkey % 5, x.l_suppkey % 3, x.l_returnflag), (x.l_orderkey % 5, x.l_linenumber % 3, x.l_linestatus)
+        counts[((a > b) - (a < b), False, ".".join(map(str, b)))] += 1
+    assert {(o, z, t): n for o, z, t, n in zip(got.order, got.zero, got.text, got.n, strict=True)} == counts
+
+
+def test_splits_of_all_writes(spark, sf_dir):
+    want = collections.Counter()
+    for x in pd.read_parquet(f"{sf_dir}/lineitem.parquet").itertuples():
+        start, end = x.l_partkey * 1777, x.l_partkey * 1777 + int(x.l_quantity * 400)
+        for i in range(start // 4096, -(-end // 4096)):
+            begin, stop = max(start, i * 4096), min(end, (i + 1) * 4096)
+            want[(x.l_suppkey % 20, x.l_orderkey, x.l_linenumber, start, i, begin - i * 4096, stop - begin, stop - begin == 4096)] += 1
+    got = query(spark, sf_dir, "write_split")
+    assert collections.Counter(got[["volume", "w", "n_line", "offset", "idx", "begin", "n", "whole"]].itertuples(index=False, name=None)) == want
+
+
+def test_resampling_of_all_events(spark, sf_dir):
+    now, span, n = 1706745600, 2592000, 60
+    events = pd.read_parquet(f"{sf_dir}/events.parquet")
+    sums, kinds = collections.defaultdict(list), set(events.event_type)
+    for kind, ts, value in zip(events.event_type, events.ts, events.value, strict=True):
+        t = ts.value // 10**9
+        if now - span <= t <= now:
+            sums[(kind, min((t - now + span) // (span // n), n - 1))].append(value)
+    want = {}
+    for kind in kinds:
+        means = [sum(x) / len(x) if (x := sums.get((kind, i))) else None for i in range(n)]
+        known = [m for m in means if m is not None]
+        for i in range(n):
+            before = [m for m in means[: i + 1] if m is not None]
+            want[(kind, now - span + (i + 1) * (span // n))] = before[-1] if before else known[0] if known else None
+    got = query(spark, sf_dir, "resampled")
+    assert {(k, t): m for k, t, m in zip(got.event_type, got.bucket_end, got["mean"], strict=True)} == pytest.approx(want, abs=1e-5)

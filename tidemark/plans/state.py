@@ -318,7 +318,7 @@ _WRITES = "(SELECT l_suppkey % 20 AS volume, l_partkey * 1777 AS \"offset\", (l_
 
 
 def write_split(spark, d):
-    return E.split_range(_writes(spark, d).where("w % 10 = 3"), "offset", "length", _SIZE).select("volume", "w", "n_line", "offset", "idx", "begin", "n", "whole")
+    return E.split_range(_writes(spark, d), "offset", "length", _SIZE).select("volume", "w", "n_line", "offset", "idx", "begin", "n", "whole")
 
 
 WRITE_SPLIT = f"""
