@@ -126,6 +126,31 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decon.decontaminate(docs, bench.limit(0)).count() == len(data) and decon.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def overlaps_by_brute_force(text, item):
+    """Whether a stretch of 13 aligned tokens (or of the shorter side) agrees but for two; no seeds."""
+    x, y = text.lower().split(), item.lower().split()
+    n = min(13, len(x), len(y))
+    return n >= 10 and any(sum(x[i + k] == y[j + k] for k in range(n)) >= n - 2 for i in range(len(x) - n + 1) for j in range(len(y) - n + 1))
+
+
+@pytest.mark.parametrize("lengths", [(10, 11, 12, 13), (13, 16)])
+def test_decontamination_finds_every_pair_of_substitutions(spark, lengths):
+    rng = random.Random(3)
+    items = {n: [f"w{n}x{i}" for i in range(n)] for n in lengths}
+    texts = []
+    for item in items.values():
+        for size in {min(13, len(item)), 10, 11, 12} - set(range(len(item) + 1, 13)):
+            for places in [(), *itertools.combinations(range(size), 1), *itertools.combinations(range(size), 2), *(rng.sample(range(size), 3) for _ in range(9))]:
+                part = ["other" if i in places else w for i, w in enumerate(item[:size])]
+                texts.append(" ".join(part))
+                if size == min(13, len(item)):
+                    texts.append(" ".join([*(f"a{i}" for i in range(rng.randrange(1, 9))), *part, *(f"b{i}" for i in range(9))]))
+    bench = spark.createDataFrame([(n, " ".join(item)) for n, item in items.items()], "item_id long, text string")
+    docs = docs_of(spark, list(enumerate(texts)), "clash")
+    got = {r["doc_id"]: r["__items"] for r in decon.marked(docs, bench, docs.columns).collect()}
+    assert got == {i: [n for n in sorted(items) if overlaps_by_brute_force(t, " ".join(items[n]))] for i, t in enumerate(texts)}
+
+
 # ---- secrets ------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ A seed is a fixed mask over SPAN tokens: tokens at positions the mask leaves out
 may differ. Seeds of every training window and of every benchmark window are
 hashed and joined; around each hit the aligned tokens are compared, and an
 overlap counts when one of the WINDOW-token stretches that hold the hit agrees
-in at least AGREE of its tokens.
+in at least AGREE of its tokens. The masks leave a seed whole wherever the other
+tokens of a stretch stand.
 """
 
 from __future__ import annotations
@@ -14,8 +15,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, written
 
-#: Positions that count, of SPAN tokens (fixed values).
-MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 5, 6, 8, 9))
+#: Positions that count, of SPAN tokens (fixed values). For stretches of WINDOW tokens the first LONG_MASKS leave a seed
+#: whole whichever two tokens differ; for shorter ones, down to SPAN tokens, all of them together do.
+MASKS = (
+    (1, 2, 3, 5, 8, 9), (0, 2, 5, 6, 7, 9), (0, 1, 4, 7, 8, 9), (0, 1, 2, 3, 4, 7), (2, 3, 4, 6, 8, 9), (0, 3, 4, 5, 7, 8),
+    (1, 3, 4, 5, 6, 9), (0, 1, 3, 6, 7, 8), (1, 2, 4, 5, 6, 8),
+)
+LONG_MASKS = 2
 SPAN = 10
 WINDOW = 13
 AGREE = 11
@@ -33,17 +39,19 @@ def tokens(text: Column) -> Column:
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, arr: str, pos: str, keep: list[str]) -> DataFrame:
+def _seeds(df: DataFrame, arr: str, pos: str, keep: list[str], every: bool) -> DataFrame:
     """Columns ``keep`` once per window of SPAN tokens and mask, with ``pos`` (its first token) and ``seed``.
 
+    Arrays of WINDOW tokens or more have seeds of the first LONG_MASKS only, unless ``every`` mask is asked for.
     The token array stays behind: rows after the explode are a few words wide,
     however long the text.
     """
     n = F.size(arr)
     at = df.select(*keep, arr, F.explode(F.when(n >= SPAN, F.sequence(F.lit(0), F.greatest(n - SPAN, F.lit(0)))).otherwise(F.array().cast("array<int>"))).alias(pos))
-    seeds = [F.xxhash64(F.lit(m), *(F.get(arr, F.col(pos) + p) for p in mask)).alias(f"s{m}") for m, mask in enumerate(MASKS)]
-    each = at.select(*keep, pos, *seeds)
-    return each.select(*keep, pos, F.explode(F.array(*(f"s{m}" for m in range(len(MASKS))))).alias("seed"))
+    seeds = [F.xxhash64(F.lit(m), *(F.get(arr, F.col(pos) + p) for p in mask)) for m, mask in enumerate(MASKS)]
+    those = F.array(*seeds) if every else F.when(n < WINDOW, F.array(*seeds)).otherwise(F.array(*seeds[:LONG_MASKS]))
+    each = at.select(*keep, pos, those.alias("seeds"))
+    return each.select(*keep, pos, F.explode("seeds").alias("seed"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -51,15 +59,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A hit gives a diagonal: a shift of the item against the text. Tokens are
     compared along it, and the overlap counts if AGREE of WINDOW tokens in a row
-    agree (all but two of an item of SPAN to WINDOW - 1 tokens). Texts and items
-    under SPAN tokens have no seeds and never overlap. Null texts overlap
+    agree (all but two of SPAN to WINDOW - 1 tokens, if the item or the text has no
+    more). Texts and items under SPAN tokens have no seeds and never overlap. Null texts overlap
     nothing; repeated rows are one document.
     """
     items = written(benchmark.where("text is not null").select("item_id", F.xxhash64("text").alias("item_row"), tokens(F.col("text")).alias("item")).distinct(), "items")
-    seeds = written(_seeds(items, "item", "q", ["item_id", "item_row"]).withColumnRenamed("seed", "item_seed"), "seeds")
+    seeds = written(_seeds(items, "item", "q", ["item_id", "item_row"], True).withColumnRenamed("seed", "item_seed"), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
+    short = not items.where(F.size("item").between(SPAN, WINDOW - 1)).isEmpty()  # these meet long texts in short stretches
     texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("doc"))
-    hits = _seeds(texts, "doc", "p", ["doc_id", "row"]).join(F.broadcast(seeds) if small else seeds, F.col("seed") == F.col("item_seed"))
+    hits = _seeds(texts, "doc", "p", ["doc_id", "row"], short).join(F.broadcast(seeds) if small else seeds, F.col("seed") == F.col("item_seed"))
     shifts = hits.select("doc_id", "row", "item_id", "item_row", (F.col("p") - F.col("q")).alias("shift")).distinct()
     found = written(shifts.join(items, ["item_id", "item_row"]).groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("hits")), "hits")
     found = found.withColumnsRenamed({"doc_id": "__d", "row": "__r"})
@@ -69,7 +78,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     both = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text").join(side, same).select("doc_id", "row", tokens(F.col("text")).alias("doc"), "hits")
 
     def holds(h: Column) -> Column:
-        length = F.least(F.lit(WINDOW), F.size(h["item"]))
+        length = F.least(F.lit(WINDOW), F.size(h["item"]), F.size("doc"))
         lo, hi = F.greatest(F.lit(0), -h["shift"]), F.least(F.size(h["item"]), F.size("doc") - h["shift"]) - length
         agree = lambda s: F.size(F.filter(F.zip_with(F.slice("doc", h["shift"] + s + 1, length), F.slice(h["item"], s + 1, length), lambda a, b: a == b), lambda x: x))
         return (lo <= hi) & F.exists(F.sequence(F.least(lo, hi), hi), lambda s: agree(s) >= length - (WINDOW - AGREE))
