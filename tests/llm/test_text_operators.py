@@ -242,6 +242,24 @@ def test_counts_after_edits_equal_full_counts():
             assert doc.total == len(e.encode_ordinary(doc.text)) and doc.chars[1] == len(doc.text)
 
 
+def test_mask_hints_hold_for_every_match(spark):
+    """Every match of a pattern gives an edit, whatever else the text has; places as Python's re finds them."""
+    rng = random.Random(8)
+    texts = ["call +33 1 23 45 67 89 now", "1234567812345678", "(12) 1-2-3-4-5-6-7", "me@.host", "me@-x", "me@host.org", "12345678", "nothing", "1" + " " * 7 + "2"]
+    texts += ["".join(rng.choice("0123 .()-@ab+") for _ in range(rng.randrange(5, 40))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", token_counts.mask_edits(F.col("t")).alias("e"))
+    got = {r["i"]: [(e["start"], e["end"], e["text"]) for e in r["e"]] for r in df.collect()}
+    for i, t in enumerate(texts):
+        spans = sorted((m.start(), k, m.end()) for k, r in enumerate((token_counts.EMAIL, token_counts.PHONE)) for m in re.finditer(r.pattern, t) if m.end() - m.start() >= r.least)
+        want, at = [], 0
+        for a, k, b in spans:
+            if a >= at:
+                want.append((a, b, "[PHONE]" if k else "[EMAIL]"))
+                at = b
+        assert got[i] == want, t
+    assert all(re.search(r.hint, m.group()) for r in (token_counts.EMAIL, token_counts.PHONE) for t in texts for m in re.finditer(r.pattern, t))
+
+
 def test_edits_reencode_little(spark):
     rng = random.Random(7)
     data = [*awkward(rng), (20, prose(rng, 20000) + " a.b@mail.example " + prose(rng, 20000))]

@@ -160,9 +160,9 @@ def apply_edits(docs: DataFrame, trees: DataFrame, vocabulary: str = bpe.VOCABUL
     return both.mapInArrow(run, schema)
 
 
-#: Personal data that the query's edits mask.
-EMAIL = Rule("email", r"@[A-Za-z0-9]", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", 5)
-PHONE = Rule("phone", r"[0-9]{3}[ .-][0-9]{3}", r"\+?[0-9][0-9 .()-]{7,}[0-9]", 9)
+#: Personal data that the query's edits mask. The hints hold for every match of the patterns.
+EMAIL = Rule("email", r"@[A-Za-z0-9.-]", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", 5)
+PHONE = Rule("phone", r"[0-9][0-9 .()-]{7}", r"\+?[0-9][0-9 .()-]{7,}[0-9]", 9)
 
 
 def mask_edits(text: Column) -> Column:
