@@ -308,6 +308,22 @@ def test_blocks_of_awkward_markup():
     assert "c:menu" in blocks(page)[2].path and blocks("") == [] and [b.text for b in blocks("plain")] == ["plain"]
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<div><p>one <svg class=icon href='#a'/> two</p><p>three</p></div>", ["one", "two", "three"]),
+    ("<p>one <svg><path d='M0'/></svg> two</p>", ["one", "two"]),
+    ("<p>a <math/> b</p><p>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math> z</p>", ["a b", "x y=2 z"]),
+    ("<div><select><option>no</div><p>two</p>", ["two"]),
+    ("<div><svg><g></div><p>two</p><svg></svg><p>three</p>", ["two", "three"]),
+    ("<div><textarea>no</div><p>two</p><textarea>no", ["two"]),
+    ("<article><object data=x>inside</object><noscript><p>shown</p></noscript></article>", ["inside", "shown"]),
+    ("<div><object>one</div><noscript>two<p>three", ["one", "two", "three"]),
+    ("<p>one</p><script>'</div>'<p>no</p>", ["one"]),
+    ("<div><select><option>a<div>b</div></select>two</div>", ["two"]),
+])
+def test_blocks_after_elements_that_are_skipped(page, want):
+    assert [b.text for b in blocks(page)] == want
+
+
 def test_labeller_finds_articles(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     train, held = [r["html"] for r in pages.where("page_id % 2 = 0").collect()], [r["html"] for r in pages.where("page_id % 2 = 1").collect()]

@@ -7,11 +7,13 @@ import re
 from typing import NamedTuple
 
 #: Elements that do not end a block (fixed values).
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mfrac mi mn mo mover mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split())
 #: Elements without content or end tag (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page (fixed values).
-RAW = frozenset("script style noscript template title textarea iframe object svg math select head".split())
+RAW = frozenset("script style template title textarea iframe svg select head".split())
+#: Of these, those whose content has no tags (fixed values).
+TAGLESS = frozenset("script style title textarea iframe".split())
 #: Elements that an open element of the same group ends (fixed values).
 ENDS = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 #: Containers that such an end does not reach out of (fixed values).
@@ -24,6 +26,26 @@ _ATTR = re.compile(r"(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _PART = re.compile(r"[a-z0-9]+")
 
 
+def _skipped(page: str, at: int, tag: str, outer: frozenset[str]) -> int:
+    """Where an element that starts before ``at`` ends: behind its end tag, or before that of an element around it."""
+    inside = [tag]
+    while (m := _TAG.search(page, at)) is not None:
+        at, name = m.end(), (m[2] or m[5] or "").lower()
+        if m[1] or m[4]:
+            if name in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(name) :]
+                if not inside:
+                    return at
+            elif name in outer:
+                return m.start()
+        elif name in ("script", "style"):
+            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = end.end() if end else at
+        elif name and name not in VOID and not (m[3] or m[6] or "").endswith("/"):
+            inside.append(name)
+    return len(page)
+
+
 class Block(NamedTuple):
     text: str
     #: Names of the open elements and words of their classes and ids, e.g. "t:div", "c:menu".
@@ -50,7 +72,8 @@ def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order; references decoded, white space made single, empty blocks left out.
 
     Text that ends inside a tag or comment ends there. Unknown and unclosed
-    elements are taken as they come.
+    elements are taken as they come; elements of RAW without an end tag end with
+    the element around them (a script with the page).
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], str]] = []  # (tag, names, mark)
@@ -80,6 +103,7 @@ def blocks(page: str) -> list[Block]:
                 linked += len(part)
 
     at, n = 0, len(page)
+    open_ended: set[str] = set()  # tags that no end tag follows any more
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
@@ -102,8 +126,14 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW and not (tag == "head" and not re.compile(r"</head\s*>|<body", re.I).search(page, at)):
             if tag not in INLINE:
                 flush()
-            end = re.compile(r"</head\s*>|(?=<body)" if tag == "head" else rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            if tag == "svg" and attrs.endswith("/"):
+                continue
+            end = None
+            if (tag == "head" or tag in TAGLESS) and tag not in open_ended:
+                end = re.compile(r"</head\s*>|(?=<body)" if tag == "head" else rf"</{tag}\s*>", re.I).search(page, at)
+                if end is None:
+                    open_ended.add(tag)
+            at = end.end() if end else n if tag == "script" else _skipped(page, at, tag, frozenset(t for t, _, _ in stack))
             continue
         if tag in INLINE:
             if tag == "br":
