@@ -17,7 +17,7 @@ def token_redeem(spark, d):
 
 
 TOKEN_REDEEM = """
-SELECT 's' || s_suppkey AS secret, max(event_id) AS ordinal, max(event_id) % 2 = 0 AS consumes FROM supplier JOIN events ON event_id < 400 AND event_id % 90 = s_suppkey
+SELECT 's' || s_suppkey AS secret, max(event_id) AS ordinal, max(event_id) % 2 = 0 AS consumes FROM supplier JOIN events ON event_id % 90 = s_suppkey
 WHERE event_type <> 'error' AND (event_id % 4 = 0 OR 3000 < event_id * 10) GROUP BY s_suppkey"""
 
 
@@ -30,7 +30,7 @@ def call_authorization(spark, d):
 
 CALL_AUTHORIZATION = """
 WITH n(method, cap) AS (VALUES ('1-URGENT', 'cap0'), ('2-HIGH', 'cap1'), ('3-MEDIUM', 'cap2'))
-SELECT o_orderkey, cap IS NOT NULL AND (o_custkey % 7 = 0 OR 'cap' || o_custkey % 3 = cap) AS allowed FROM orders LEFT JOIN n ON method = o_orderpriority WHERE o_orderkey % 20 = 1"""
+SELECT o_orderkey, cap IS NOT NULL AND (o_custkey % 7 = 0 OR 'cap' || o_custkey % 3 = cap) AS allowed FROM orders LEFT JOIN n ON method = o_orderpriority"""
 
 
 def revoked_serials(spark, d):

@@ -31,7 +31,7 @@ def key_hash(spark, d):
     return _keys(spark, d).select("o_orderkey", unsigned(fnv1a64(F.col("key"))).cast("string").alias("hash"))
 
 
-_KEYS = f"(SELECT o_orderkey, {fnv_sql('(' + chr(39) + 'chunk-' + chr(39) + ' || o_orderkey)')} AS h FROM orders WHERE o_orderkey % 8 = 1)"
+_KEYS = f"(SELECT o_orderkey, {fnv_sql('(' + chr(39) + 'chunk-' + chr(39) + ' || o_orderkey)')} AS h FROM orders)"
 KEY_HASH = f"SELECT o_orderkey, h::UBIGINT::VARCHAR AS hash FROM {_KEYS}"
 
 

@@ -36,11 +36,11 @@ s_name AS volume, CASE WHEN regexp_matches(s_name, '^[A-Za-z0-9_-]{1,128}$') THE
 
 def path_functions(spark, d):
     p = table(spark, d, "pages")
-    return p.select("page_id", T.redact_target(F.concat(F.lit("https://user:pw@"), F.substring("url", 9, 200), F.lit("?q=1#x"))).alias("redacted"), F.array_join(T.path_parts(F.col("url")), "|").alias("parts"), T.relative_name(F.lit("https://"), F.col("url")).alias("relative"))
+    return p.select("page_id", T.redact_target(F.concat(F.lit("https://user:pw@"), F.expr("substring(url, 9)"), F.lit("?q=1#x"))).alias("redacted"), F.array_join(T.path_parts(F.col("url")), "|").alias("parts"), T.relative_name(F.lit("https://"), F.col("url")).alias("relative"))
 
 
 PATH_FUNCTIONS = """
-SELECT page_id, 'https://' || regexp_replace(regexp_replace(url[9:208] || '?q=1#x', '[?#;].*$', ''), '^[^/@]*@', '') AS redacted,
+SELECT page_id, 'https://' || regexp_replace(regexp_replace(url[9:] || '?q=1#x', '[?#;].*$', ''), '^[^/@]*@', '') AS redacted,
 array_to_string(list_filter(string_split(url, '/'), lambda p: p NOT IN ('', '.')), '|') AS parts, CASE WHEN starts_with(url, 'https://') THEN url[9:] END AS relative FROM pages"""
 
 
@@ -116,5 +116,5 @@ def hlc_order(spark, d):
 
 
 HLC_ORDER = """
-WITH x AS (SELECT (l_partkey % 5, l_suppkey % 3, l_returnflag) AS a, (l_orderkey % 5, l_linenumber % 3, l_linestatus) AS b, l_orderkey % 5 || '.' || l_linenumber % 3 || '.' || l_linestatus AS text FROM lineitem WHERE l_orderkey < 300)
+WITH x AS (SELECT (l_partkey % 5, l_suppkey % 3, l_returnflag) AS a, (l_orderkey % 5, l_linenumber % 3, l_linestatus) AS b, l_orderkey % 5 || '.' || l_linenumber % 3 || '.' || l_linestatus AS text FROM lineitem)
 SELECT (CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)::INTEGER AS "order", false AS zero, text, count(*) AS n FROM x GROUP BY 1, 2, 3"""

@@ -32,7 +32,7 @@ def resampled(spark, d):
 
 
 RESAMPLED = f"""
-WITH b AS {_BUCKETS.replace("FROM events", "FROM (SELECT * FROM events WHERE event_id % 20 = 3) events")}
+WITH b AS {_BUCKETS}
 SELECT event_type, bucket_end, round(coalesce(last_value(mean IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bucket_end),
 first_value(mean IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY bucket_end ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)), 6) AS mean FROM b"""
 

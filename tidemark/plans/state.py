@@ -322,7 +322,7 @@ def write_split(spark, d):
 
 
 WRITE_SPLIT = f"""
-WITH e AS (SELECT *, unnest(range("offset" // {_SIZE}, ("offset" + length - 1) // {_SIZE} + 1)) AS idx FROM {_WRITES} WHERE w % 10 = 3 AND length > 0),
+WITH e AS (SELECT *, unnest(range("offset" // {_SIZE}, ("offset" + length - 1) // {_SIZE} + 1)) AS idx FROM {_WRITES} WHERE length > 0),
 x AS (SELECT *, greatest("offset", idx * {_SIZE}) - idx * {_SIZE} AS begin, least("offset" + length, (idx + 1) * {_SIZE}) - greatest("offset", idx * {_SIZE}) AS n FROM e)
 SELECT volume, w, n_line, "offset", idx, begin, n, n = {_SIZE} AS whole FROM x"""
 

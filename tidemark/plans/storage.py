@@ -178,7 +178,7 @@ def map_digest(spark, d):
 
 
 MAP_DIGEST = f"""
-SELECT volume, xor(bit_xor({fnv_sql("(key::VARCHAR || '|' || value)")}::UBIGINT), 5841168716699533313::UBIGINT)::VARCHAR AS digest, count(*) AS mapped FROM {_REP.format(where="l_orderkey < 400 AND " + _A)} GROUP BY 1"""
+SELECT volume, xor(bit_xor({fnv_sql("(key::VARCHAR || '|' || value)")}::UBIGINT), 5841168716699533313::UBIGINT)::VARCHAR AS digest, count(*) AS mapped FROM {_REP.format(where=_A)} GROUP BY 1"""
 
 
 def map_missing(spark, d):
