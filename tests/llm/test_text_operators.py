@@ -209,10 +209,29 @@ def test_jaccard_components_equal_brute_force(spark, k, t, seed):
     assert sorted((-1 if r[0] is None else r[0], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got.collect()) == plain_components(data, k, t)
 
 
-def test_key_bits_with_tasks_that_have_no_rows(spark):
-    wide, narrow = (ngram_join._bits_of(spark.range(3).repartition(n)) for n in (9, 1))
-    assert (wide == narrow).all() and np.unpackbits(wide).sum() == 3
-    assert not ngram_join._bits_of(spark.range(0)).any()
+def test_parts_of_a_cluster_meet_their_pivot(spark, monkeypatch):
+    """Two edits of one text each: hardly any two link, but all link through the text; its cluster is cut in parts."""
+    monkeypatch.setattr(ngram_join, "PART_ROWS", 3)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    data = [(1, " ".join(base))]
+    for n in range(40):
+        ws = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            ws[rng.randrange(len(ws))] = f"x{n}-{rng.randrange(99)}"
+        data.append((10 + n, " ".join(ws)))
+    data += data[5:9]  # repeated rows
+    for k, t in ((3, 90), (5, 80)):
+        got = ngram_join.jaccard_components(docs_of(spark, data), k, t).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(data, k, t)
+
+
+def test_rows_that_fetch_sets_over_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ngram_join, "BROADCAST_LABELS", 0)
+    data = [(i, " ".join(f"w{j}" for j in range(i % 4, 60 + i % 4)) + (" end" if i % 3 else "")) for i in range(30)]
+    got = ngram_join.jaccard_components(docs_of(spark, data), 3, 90).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == plain_components(data, 3, 90)
 
 
 def test_jaccard_of_empty_table(spark):

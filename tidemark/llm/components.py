@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 
-#: Up to so many edges (a few MB) a round runs in one task without a shuffle.
-SMALL = 100_000
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for edges (a, b) of longs; comp is the smallest node of the component.
 
@@ -27,7 +23,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == (mark["n"], mark["x"]) or mark["n"] == 0:
             return e.select(F.col("a").alias("node"), F.col("b").alias("comp"))
         seen = (mark["n"], mark["x"])
-        e = e.coalesce(1) if mark["n"] <= SMALL else e
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -1,6 +1,6 @@
 """Count-min sketches built per partition, merged by a shuffle and broadcast at a bounded size.
 
-A sketch has DEPTH rows of ``width`` cells (a multiple of BLOCK). Partial sketches
+A sketch has DEPTH rows (one where only an order is wanted) of ``width`` cells (a multiple of BLOCK). Partial sketches
 travel as compressed blocks of cells; blocks of one range are added up in one
 task, so no task or driver ever adds up a whole corpus of keys. What reaches the
 driver is one byte (or one bit) per cell: at most DEPTH * MAX_WIDTH of them.
@@ -52,7 +52,7 @@ def _parts(row: int, keys: list[np.ndarray], width: int, most: int) -> Iterator[
         yield row * (width // BLOCK) + int(block[a]), int(b - a), pack(gaps), pack(np.minimum(count[a:b], most).astype(np.uint16))
 
 
-def gathered(df: DataFrame, column: str, keys_of: Callable[[pa.RecordBatch], np.ndarray], width: int, finish: Callable[[np.ndarray], np.ndarray], buffer: int = 3_000_000) -> np.ndarray:
+def gathered(df: DataFrame, column: str, keys_of: Callable[[pa.RecordBatch], np.ndarray], width: int, finish: Callable[[np.ndarray], np.ndarray], buffer: int = 3_000_000, depth: int = DEPTH) -> np.ndarray:
     """Merged sketch of the keys that ``keys_of`` finds in the rows of ``df``, at the driver.
 
     ``finish`` turns the saturating counts of a block into bytes, e.g. one bit
@@ -65,7 +65,7 @@ def gathered(df: DataFrame, column: str, keys_of: Callable[[pa.RecordBatch], np.
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            rows = [p for r in range(DEPTH) for p in _parts(r, held, width, 65535)]
+            rows = [p for r in range(depth) for p in _parts(r, held, width, 65535)]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "n", "gaps", "counts"])
 
         for b in tk.pieces(batches, column):
@@ -97,10 +97,10 @@ def gathered(df: DataFrame, column: str, keys_of: Callable[[pa.RecordBatch], np.
     parts = df.mapInArrow(run, "block int, n int, gaps binary, counts binary")
     blocks = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, cells binary")
     per_row = width // BLOCK
-    out = np.zeros((DEPTH * per_row, size), np.uint8)
+    out = np.zeros((depth * per_row, size), np.uint8)
     for row in blocks.collect():  # at most one entry per block of a sketch of fixed size
         out[row["block"]] = unpack(row["cells"], size, np.uint8)
-    return out.reshape(DEPTH, per_row * size)
+    return out.reshape(depth, per_row * size)
 
 
 def as_codes(count: np.ndarray) -> np.ndarray:
@@ -114,9 +114,9 @@ def as_repeated(count: np.ndarray) -> np.ndarray:
 
 
 def code_of(codes: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
-    """The least of the DEPTH codes of each key."""
+    """The least of the codes of each key, one in each row of the sketch."""
     out = codes[0][cells(keys, 0, width)]
-    for r in range(1, DEPTH):
+    for r in range(1, len(codes)):
         out = np.minimum(out, codes[r][cells(keys, r, width)])
     return out
 
