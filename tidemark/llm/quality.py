@@ -1,11 +1,17 @@
 """Quality rules whose thresholds follow the corpus (operator 1).
 
-Every document gets a few ratios. For each ratio a quantile sketch is kept per
-(language, source): counts over a fixed grid, so that sketches of partitions
-merge by adding counts, in any order, to the same result. A ratio is too high
-when it lies beyond the sketch's upper fence, q50 + 4 (q50 - q25) + slack; the
-fences are joined back to the documents, which are then filtered. A fence holds
-while less than half of a group is junk.
+Every document gets a few measures, each (part + 1) / (whole + 1) of two counts,
+so that none is 0. For each measure a quantile sketch is kept per (language,
+source): counts over cells whose width grows with the value (its six leading
+bits), so a quantile is exact to one part in 32 wherever the values lie, and
+sketches of partitions merge by adding counts, in any order, to the same result.
+
+Thresholds come from the sketch's quartiles alone, on a logarithmic scale: a
+measure is too high beyond q50 (q50 / q25)^SPREADS and too low under
+q50 (q50 / q75)^SPREADS. Each side looks at the other half of the group, so a
+fence holds while less than half of a group is junk. Quartiles of small groups
+are drawn towards their language's, and a small language's towards the whole
+corpus'. The fences are joined back to the documents, which are then filtered.
 """
 
 from __future__ import annotations
@@ -21,12 +27,22 @@ from pyspark.sql import types as T
 from tidemark.llm import textkit as tk
 from tidemark.llm.common import small_batches, table, written
 
-#: Ratios in [0, 1] that a sketch is kept of, with the slack added to their fence.
-RATIOS = {"symbol_ratio": 0.05, "dup_line_ratio": 0.3, "repeat_ratio": 0.35, "upper_ratio": 0.3, "mark_ratio": 0.08}
-#: Cells of a sketch: a quantile is exact to 1 / GRID.
-GRID = 200
-#: A (language, source) with fewer documents takes its language's fence.
-MIN_GROUP = 200
+#: Measures: part, whole, and the sides that are bounded: "hi", "lo" or both.
+MEASURES = {
+    "symbols": ("n_symbols", "word_chars", "hi"),
+    "dup_lines": ("n_dup_lines", "n_words", "hi"),
+    "repeats": ("n_repeat_words", "n_words", "hi"),
+    "capitals": ("n_upper", "word_chars", "hi"),
+    "marks": ("n_marks", "word_chars", "hi"),
+    "word_length": ("word_chars", "n_words", "hi lo"),
+    "line_length": ("n_words", "n_lines", "lo"),
+}
+#: Measures are kept as whole numbers of 1 / SCALE.
+SCALE = 1 << 20
+#: Spreads (from the median to a quartile, as a factor) between the median and a fence; if measures were log-normal, four standard deviations.
+SPREADS = 6
+#: Documents that the level above a group weighs as much as.
+PRIOR = 50
 MIN_WORDS = 50
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
@@ -81,7 +97,6 @@ def count_features(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-_PARTS = {"symbol_ratio": ("n_symbols", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "repeat_ratio": ("n_repeat_words", "n_words"), "upper_ratio": ("n_upper", "word_chars"), "mark_ratio": ("n_marks", "word_chars")}
 #: Fence tables up to this many groups are broadcast (a few MB); larger ones are joined by shuffle.
 BROADCAST_GROUPS = 50_000
 
@@ -106,9 +121,16 @@ def quality_features(docs: DataFrame, keep: list[str], text_col: str = "text") -
     return small.mapInArrow(run, schema)
 
 
-def ratio(name: str) -> Column:
-    part, whole = (F.col(f"__q.{c}") for c in _PARTS[name])
-    return F.when(whole > 0, F.least(F.lit(1.0), part / whole)).otherwise(F.lit(0.0))
+def measure(name: str) -> Column:
+    """A measure of ``__q`` in 1 / SCALE, 1 at least."""
+    part, whole, _ = MEASURES[name]
+    return F.expr(f"greatest(((__q.{part} + 1) * {SCALE}L) div (__q.{whole} + 1), 1L)")
+
+
+def cell_of(value: Column) -> Column:
+    """The least value of the sketch's cell: six leading bits are kept."""
+    drop = F.greatest(F.length(F.bin(value)) - 6, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, drop), drop)
 
 
 def base_failed() -> Column:
@@ -117,68 +139,82 @@ def base_failed() -> Column:
 
 
 def sketches(features: DataFrame) -> DataFrame:
-    """Rows (lang, source, ratio, cell, n) over documents that pass the fixed rules.
+    """Rows (lang, source, measure, cell, n) over documents that pass the fixed rules.
 
-    Partial sums are made before the shuffle, so a hot source sends at most
-    GRID + 1 rows per ratio and task. Sketches of two corpora merge by adding n.
+    Partial sums are made before the shuffle, so a hot source sends at most some
+    hundred rows per measure and task. Sketches of two corpora merge by adding n.
     """
-    cells = F.array(*(F.struct(F.lit(r).alias("ratio"), F.floor(ratio(r) * GRID).cast("int").alias("cell")) for r in RATIOS))
+    cells = F.array(*(F.struct(F.lit(m).alias("measure"), cell_of(measure(m)).alias("cell")) for m in MEASURES))
     return (
         features.where(~base_failed())
         .select("lang", "source", F.explode(cells).alias("c"))
-        .groupBy("lang", "source", F.col("c.ratio").alias("ratio"), F.col("c.cell").alias("cell"))
+        .groupBy("lang", "source", F.col("c.measure").alias("measure"), F.col("c.cell").alias("cell"))
         .agg(F.count("*").alias("n"))
     )
 
 
 def _quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys, "ratio")
-    run = counts.withColumn("upto", F.sum("n").over(w.orderBy("cell"))).withColumn("n_docs", F.sum("n").over(w))
-    q = lambda p: F.min(F.when(F.col("upto") >= p * F.col("n_docs"), F.col("cell")))
-    return run.groupBy(*keys, "ratio").agg(q(0.25).alias("lo"), q(0.5).alias("mid"), F.max("n_docs").alias("n_docs"))
+    """(keys, measure, n, mid, up, down): logarithms of the median and of its ratios to the lower and from the upper quartile."""
+    cells = counts.groupBy(*keys, "measure", "cell").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(*keys, "measure")
+    run = cells.withColumn("upto", F.sum("n").over(w.orderBy("cell"))).withColumn("total", F.sum("n").over(w))
+    q = lambda p: F.ln(F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("cell"))).cast("double"))
+    return run.groupBy(*keys, "measure").agg(F.max("total").alias("n"), q(0.5).alias("mid"), (q(0.5) - q(0.25)).alias("up"), (q(0.75) - q(0.5)).alias("down"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <ratio>_fence...): a group under MIN_GROUP documents takes its language's merged sketch.
+    """(lang, source, <measure>_hi, <measure>_lo): the greatest and least value that stays.
 
     Null languages and sources are groups of their own.
     """
-    own = _quartiles(sketch, ["lang", "source"]).alias("o")
-    merged = _quartiles(sketch.groupBy("lang", "ratio", "cell").agg(F.sum("n").alias("n")), ["lang"]).alias("m")
-    both = own.join(merged, F.col("o.lang").eqNullSafe(F.col("m.lang")) & (F.col("o.ratio") == F.col("m.ratio")))
-    of = lambda c: F.when(F.col("o.n_docs") < MIN_GROUP, F.col(f"m.{c}")).otherwise(F.col(f"o.{c}"))
-    slack = F.create_map(*(F.lit(x) for kv in RATIOS.items() for x in kv))
-    fence = (of("mid") + 4 * (of("mid") - of("lo")) + 1) / F.lit(float(GRID)) + slack[F.col("o.ratio")]
-    return (
-        both.select("o.lang", "o.source", "o.ratio", fence.alias("fence"))
-        .groupBy("lang", "source")
-        .agg(*(F.max(F.when(F.col("ratio") == r, F.col("fence"))).alias(f"{r}_fence") for r in RATIOS))
-    )
+    own, of_lang, of_all = (_quartiles(sketch, keys).alias(a) for keys, a in ((["lang", "source"], "o"), (["lang"], "l"), ([], "a")))
+    both = own.join(of_lang, F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.measure") == F.col("l.measure"))).join(of_all, F.col("o.measure") == F.col("a.measure"))
 
+    def drawn(c: str) -> Column:
+        upper = (F.col("l.n") * F.col(f"l.{c}") + PRIOR * F.col(f"a.{c}")) / (F.col("l.n") + PRIOR)
+        return (F.col("o.n") * F.col(f"o.{c}") + PRIOR * upper) / (F.col("o.n") + PRIOR)
 
-def quality_verdicts(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep``, ``__q`` (counts), ``__base_failed`` and ``__kept`` of every row of ``docs``.
+    width = F.ln(F.lit(33 / 32))  # a spread is not known better than a cell's width
+    hi = F.floor(F.exp(drawn("mid") + SPREADS * F.greatest(drawn("up"), width)) + 0.3)
+    lo = F.floor(F.exp(drawn("mid") - SPREADS * F.greatest(drawn("down"), width)) + 0.3)
+    each = both.select("o.lang", "o.source", "o.measure", hi.alias("hi"), lo.alias("lo"))
+    return each.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m, (_, _, sides) in MEASURES.items() for side in sides.split()))
 
-    ``docs`` needs lang and source. Groups without a document that passes the
-    fixed rules have no fence; their documents all fail anyway. An empty table
-    gives an empty result.
-    """
-    fence = written(fences(sketches(quality_features(docs, ["lang", "source"], text_col))), "fences")
+
+def _judged(features: DataFrame, keep: list[str], fence: DataFrame) -> DataFrame:
+    """Columns ``keep``, __q, __base_failed and __kept of features with __lang and __source."""
     fence = fence.withColumnsRenamed({c: f"__f_{c}" for c in fence.columns})
     side = F.broadcast(fence) if fence.count() <= BROADCAST_GROUPS else fence
-    keyed = docs.select(*keep, F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col(text_col).alias("__whole"))
-    feats = quality_features(keyed, [*keep, "__lang", "__source"], "__whole")
     ok = ~base_failed()
-    for r in RATIOS:
-        ok = ok & (ratio(r) <= F.coalesce(F.col(f"__f_{r}_fence"), F.lit(1.0)))
+    for m, (_, _, sides) in MEASURES.items():
+        if "hi" in sides:
+            ok = ok & (measure(m) <= F.coalesce(F.col(f"__f_{m}_hi"), measure(m)))
+        if "lo" in sides:
+            ok = ok & (measure(m) >= F.coalesce(F.col(f"__f_{m}_lo"), measure(m)))
     on = F.col("__lang").eqNullSafe(F.col("__f_lang")) & F.col("__source").eqNullSafe(F.col("__f_source"))
-    return feats.join(side, on, "left").select(*keep, "__q", base_failed().alias("__base_failed"), ok.alias("__kept"))
+    return features.join(side, on, "left").select(*keep, "__q", base_failed().alias("__base_failed"), ok.alias("__kept"))
+
+
+def quality_verdicts(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Columns ``keep``, ``__q`` (counts), ``__base_failed`` and ``__kept`` of every row of ``docs``.
+
+    Texts are read once; ``keep`` is written with the counts, so it should be
+    narrow. ``docs`` needs lang and source. Groups without a document that
+    passes the fixed rules have no fence; their documents all fail anyway. An
+    empty table gives an empty result.
+    """
+    keyed = docs.select(*keep, F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col(text_col).alias("__whole"))
+    feats = written(quality_features(keyed, [*keep, "__lang", "__source"], "__whole"), "features")
+    sketch = sketches(feats.select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), "__q"))
+    return _judged(feats, keep, written(fences(sketch), "fences"))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns unchanged."""
+    """The documents that pass, with their columns unchanged. Texts are read twice rather than written a second time."""
+    fence = written(fences(sketches(quality_features(docs, ["lang", "source"]))), "fences")
     cols = docs.columns
-    return quality_verdicts(docs, cols).where("__kept").select(*cols)
+    keyed = docs.select(*cols, F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.col("text").alias("__whole"))
+    return _judged(quality_features(keyed, [*cols, "__lang", "__source"], "__whole"), cols, fence).where("__kept").select(*cols)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
