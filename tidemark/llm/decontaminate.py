@@ -5,7 +5,7 @@ may differ. Seeds of every training window and of every benchmark window are
 hashed and joined; around each hit the aligned tokens are compared, and an
 overlap counts when one of the WINDOW-token stretches that hold the hit agrees
 in at least AGREE of its tokens. The masks leave a seed whole wherever the other
-tokens of a stretch stand.
+tokens of a stretch stand. Items that are shorter than a seed are matched whole.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ LONG_MASKS = 2
 SPAN = 10
 WINDOW = 13
 AGREE = 11
+#: Items under SPAN tokens match whole; shorter ones than this are turns of speech that stand in clean texts, and match nothing.
+SHORTEST = 5
 #: Benchmarks of up to this many seeds (32 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_SEEDS = 500_000
 #: Shifts to verify (with an item's tokens each) of up to this many are broadcast to their documents; more are joined by shuffle.
@@ -54,14 +56,26 @@ def _seeds(df: DataFrame, arr: str, pos: str, keep: list[str], every: bool) -> D
     return each.select(*keep, pos, F.explode("seeds").alias("seed"))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _whole(texts: DataFrame, items: DataFrame, shortest: int) -> DataFrame:
+    """(doc_id, row, item_id) where all tokens of an item of ``shortest`` to SPAN - 1 tokens stand in a row in a text."""
+    lengths = sorted(r[0] for r in items.where(F.size("item").between(shortest, SPAN - 1)).select(F.size("item")).distinct().collect())  # under SPAN rows
+    run = lambda arr, p, n: F.xxhash64(F.lit(n), *(F.get(arr, p + j) for j in range(n)))
+    short = items.where(F.size("item").isin(lengths)).select("item_id", F.coalesce(*(F.when(F.size("item") == n, run("item", F.lit(0), n)) for n in lengths), F.lit(None).cast("long")).alias("whole"))
+    at = texts.select("doc_id", "row", "doc", F.explode(F.when(F.size("doc") > 0, F.sequence(F.lit(0), F.size("doc") - 1)).otherwise(F.array().cast("array<int>"))).alias("p"))
+    runs = F.array(*(F.when(F.col("p") + n <= F.size("doc"), run("doc", F.col("p"), n)) for n in lengths)).cast("array<long>")
+    found = at.select("doc_id", "row", F.explode(runs).alias("run")).where("run is not null")
+    return found.join(F.broadcast(short) if short.count() <= BROADCAST_SEEDS else short, F.col("run") == F.col("whole")).select("doc_id", "row", "item_id").distinct()
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, row, item_id) once per document and benchmark item that overlap; row is xxhash64(text).
 
     A hit gives a diagonal: a shift of the item against the text. Tokens are
     compared along it, and the overlap counts if AGREE of WINDOW tokens in a row
     agree (all but two of SPAN to WINDOW - 1 tokens, if the item or the text has no
-    more). Texts and items under SPAN tokens have no seeds and never overlap. Null texts overlap
-    nothing; repeated rows are one document.
+    more). Items of ``shortest`` to SPAN - 1 tokens overlap texts that hold them whole;
+    texts under SPAN tokens overlap no longer items. Null texts overlap nothing;
+    repeated rows are one document.
     """
     items = written(benchmark.where("text is not null").select("item_id", F.xxhash64("text").alias("item_row"), tokens(F.col("text")).alias("item")).distinct(), "items")
     seeds = written(_seeds(items, "item", "q", ["item_id", "item_row"], True).withColumnRenamed("seed", "item_seed"), "seeds")
@@ -84,7 +98,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return (lo <= hi) & F.exists(F.sequence(F.least(lo, hi), hi), lambda s: agree(s) >= length - (WINDOW - AGREE))
 
     kept = F.transform(F.filter("hits", holds), lambda h: h["item_id"])
-    return both.select("doc_id", "row", F.explode(kept).alias("item_id")).distinct()
+    long = both.select("doc_id", "row", F.explode(kept).alias("item_id")).distinct()
+    if items.where(F.size("item").between(shortest, SPAN - 1)).isEmpty():
+        return long
+    return long.unionByName(_whole(texts, items, shortest)).distinct()
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
