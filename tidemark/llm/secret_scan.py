@@ -1,19 +1,23 @@
 """Secret scan over an incremental ledger of blobs (operator 4), DataFrame functions only.
 
-Every version of every file is named by the SHA-256 of its text. Pairs of blob
-and rule version that the ledger holds are not scanned again; of the others one
-copy of each blob is scanned, however many paths hold it. Findings are joined
-back to all paths.
+Every version of every file is named by the SHA-256 of its text. The ledger is a
+Parquet table in the shared folder with one row per blob and rule version that
+was scanned, with or without findings. Pairs that it holds are not scanned
+again; of the other blobs one copy is scanned by the rules that it lacks,
+however many paths hold it, and the ledger grows by these pairs. Findings are
+joined back to all paths.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import shared_dir, table
 
 
 class Rule(NamedTuple):
@@ -25,6 +29,12 @@ class Rule(NamedTuple):
     #: Least length of the value (of the match without a group).
     least: int
     has_value: bool = False
+    #: A change of the rule needs a new version: every blob is then scanned by it again.
+    version: int = 1
+
+    @property
+    def name(self) -> str:
+        return f"{self.kind}-{self.version}"
 
 
 #: Rules in the order in which kinds are listed.
@@ -37,11 +47,12 @@ RULES = (
 )
 #: The first BASE rules are the fixed ones.
 BASE = 3
-#: A change of RULES needs a new version: blobs are then scanned again.
-RULE_VERSION = 1
 #: Findings of up to this many blobs are broadcast to the paths; more are joined by shuffle.
 BROADCAST_BLOBS = 100_000
 SPANS = "array<struct<start:int,kind:int,end:int>>"
+LEDGER = f"blob string, spans {SPANS}, rule string"
+#: Parts in which the query brings its table to the ledger, as a history arrives.
+INCREMENTS = 2
 
 
 def rule_spans(text: Column, kind: int, rule: Rule) -> Column:
@@ -67,37 +78,61 @@ def rule_spans(text: Column, kind: int, rule: Rule) -> Column:
     return F.when(text.rlike(rule.hint), found).otherwise(none)
 
 
-def spans_of(text: Column) -> Column:
-    """All spans of a text by start, then kind."""
-    return F.sort_array(F.concat(*(rule_spans(text, i, r) for i, r in enumerate(RULES))))
+def new_ledger(spark: SparkSession) -> str:
+    """Path of a ledger that is empty yet."""
+    return f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
 
 
-def ledger_schema() -> str:
-    return f"blob string, rule_version int, spans {SPANS}"
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger's rows (blob, spans, rule); none if nothing was written yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
 
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """New ledger rows (blob, rule_version, spans): one for each blob that the ledger lacks at RULE_VERSION.
+def scan_unseen(versions: DataFrame, ledger: DataFrame, key: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """New ledger rows: one for each pair of a blob of ``versions`` and a rule version that ``ledger`` lacks.
 
-    A null text is the empty blob. Repeated rows and copies are one blob.
+    A null text is the empty blob. Copies are one blob; repeated rows of the
+    copy that is scanned can repeat ledger rows, which readers take as one.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = versions.select(F.col(key).alias("key"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+    names = F.array(*(F.lit(r.name) for r in rules))
+    seen = ledger.where(F.col("rule").isin(*(r.name for r in rules))).groupBy(F.col("blob").alias("known")).agg(F.collect_set("rule").alias("had"))  # a few rules
+    blobs = named.groupBy("blob").agg(F.min("key").alias("rep")).join(seen, F.col("blob") == F.col("known"), "left")
+    lacks = F.array_except(names, F.coalesce("had", F.array().cast("array<string>")))
+    blobs = blobs.select(F.col("blob").alias("unseen"), "rep", lacks.alias("lacks")).where(F.size("lacks") > 0)
+    one = named.join(blobs.hint("shuffle_hash"), (F.col("blob") == F.col("unseen")) & F.col("key").eqNullSafe(F.col("rep")))
+    done = F.array(*(F.struct(F.lit(r.name).alias("rule"), F.when(F.array_contains("lacks", r.name), rule_spans(F.col("text"), i, r)).alias("spans")) for i, r in enumerate(rules)))
+    each = one.select("blob", F.explode(F.filter(done, lambda x: x["spans"].isNotNull())).alias("x"))
+    return each.select("blob", "x.spans", "x.rule")
+
+
+def extend_ledger(versions: DataFrame, path: str, key: str = "doc_id", text_col: str = "text") -> None:
+    """Scan what the ledger at ``path`` lacks of ``versions`` and append it."""
+    spark = versions.sparkSession
+    scan_unseen(versions, read_ledger(spark, path), key, text_col).write.mode("append").partitionBy("rule").parquet(path)
+
+
+def with_findings(versions: DataFrame, keep: list[str], ledger: str | None = None, key: str = "doc_id", text_col: str = "text", increments: int = 1) -> DataFrame:
+    """Columns ``keep`` and __spans for every row of ``versions``: findings of its blob, new or from the ledger.
+
+    ``ledger`` is the path of a ledger, which is extended; without one a new
+    ledger is kept in the shared folder. With more ``increments`` the versions
+    come to the ledger in so many parts, by a hash of ``key``; the result is the same.
     """
-    named = versions.select(F.col(key).alias("key"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    unseen = named.groupBy("blob").agg(F.min("key").alias("rep"))
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    unseen = unseen.withColumnRenamed("blob", "unseen")
-    one = named.join(unseen.hint("shuffle_hash"), (F.col("blob") == F.col("unseen")) & F.col("key").eqNullSafe(F.col("rep")))
-    found = one.select("blob", F.lit(RULE_VERSION).alias("rule_version"), spans_of(F.col("text")).alias("spans"))
-    return found.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
-
-
-def with_findings(versions: DataFrame, keep: list[str], ledger: DataFrame | None = None, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` and __spans for every row of ``versions``: findings of its blob, new or from the ledger."""
-    new = written(scan_unseen(versions, ledger, key, text_col).where(F.size("spans") > 0), "findings")
-    known = new if ledger is None else new.unionByName(ledger.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select(*new.columns))
-    known = known.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    spark = versions.sparkSession
+    path = ledger or new_ledger(spark)
+    for i in range(increments):
+        extend_ledger(versions if increments == 1 else versions.where(F.pmod(F.xxhash64(key), F.lit(increments)) == i), path, key, text_col)
+    found = read_ledger(spark, path).where(F.col("rule").isin(*(r.name for r in RULES)) & (F.size("spans") > 0))
+    known = found.groupBy("blob", "rule").agg(F.first("spans").alias("spans")).groupBy(F.col("blob").alias("__blob")).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("__spans"))
     paths = versions.select(*keep, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("__of"))
-    side = F.broadcast(known) if known.count() <= BROADCAST_BLOBS else known
+    side = F.broadcast(known) if found.count() <= BROADCAST_BLOBS else known
     return paths.join(side, F.col("__of") == F.col("__blob"), "left").select(*keep, F.coalesce("__spans", F.array().cast(SPANS)).alias("__spans"))
 
 
@@ -129,7 +164,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and places of secrets in every document."""
-    got = with_findings(table(spark, sf_dir, "documents"), ["doc_id"])
+    got = with_findings(table(spark, sf_dir, "documents"), ["doc_id"], increments=INCREMENTS)
     n = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("__spans", lambda s: s["kind"] < BASE)
     counts = [n(i).alias(f"n_{RULES[i].kind}") for i in range(BASE)]
