@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import token_lengths
 from tidemark.llm.common import table, written
 from tidemark.llm.decontaminate import decontaminate
-from tidemark.llm.length_buckets import length_buckets, word_length
+from tidemark.llm.length_buckets import length_buckets
 from tidemark.llm.ngram_join import near_duplicate_filter
 from tidemark.llm.quality import quality_filter
 from tidemark.llm.secret_scan import redact_secrets
@@ -40,7 +41,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Length, bucket and batch of every document that is left."""
-    got = length_buckets(docs, ["doc_id"], word_length(F.col("text")))
+    got = length_buckets(token_lengths(docs, ["doc_id"]), ["doc_id"], F.col("__n_tokens"))
     return got.select("doc_id", F.col("__length").alias("n_tokens"), F.col("__bucket").alias("bucket_length"), F.col("__batch").alias("batch"))
 
 

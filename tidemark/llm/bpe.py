@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import base64
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 import tiktoken
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm import textkit as tk
+from tidemark.llm.common import small_batches
 
 #: Pre-token pattern that belongs to the vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,3 +56,20 @@ class Counts(dict):
         n = len(self.encoding._encode_single_piece(piece)) if len(piece) > 1 else len(self.encoding.encode_ordinary(piece))
         self[piece] = n
         return n
+
+
+def token_lengths(docs: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, text_col: str = "text") -> DataFrame:
+    """Columns ``keep`` and __n_tokens of every row: tokens of the whole text and one that ends it. Null and empty texts have 1.
+
+    Every executor reads the vocabulary from ``vocabulary``.
+    """
+    small = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("__text"))
+    schema = small.select(*keep).schema.add("__n_tokens", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tk.pieces(batches, "__text", 1 << 20):
+            n = [len(encode(t, vocabulary)) + 1 for t in b.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=schema.names)
+
+    small_batches(docs.sparkSession)
+    return small.mapInArrow(run, schema)

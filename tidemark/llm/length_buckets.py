@@ -1,8 +1,10 @@
 """Optimal length buckets and token-budget batches (operator 7).
 
-The global histogram of lengths (one row per cell, a fixed number of cells)
-goes to the driver, where dynamic programming chooses the bucket bounds that
-minimise padding. Batches of at most a token budget are then formed inside each
+The global histogram of token counts goes to the driver: one row per length up
+to FINE and per cell beyond, with the greatest length in it, under 11,000 rows
+for lengths of any size. Dynamic programming chooses the bucket bounds that
+minimise padding; they are lengths that occur, so the optimum is exact where no
+document is longer than FINE. Batches of at most a token budget are then formed inside each
 bucket, in parallel: a bucket is cut in parts of about equal size, rows are
 numbered within their part, and the sizes of the parts before it complete the
 number.
@@ -14,10 +16,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, words_of, written
+from tidemark.llm.bpe import token_lengths
+from tidemark.llm.common import table, written
 
-#: Lengths up to FINE fall in cells of GRAIN; beyond, in cells of 1/32 of a power of two. 64-bit lengths fill under 2,600 cells.
-GRAIN = 8
+#: Lengths up to FINE are cells of the histogram; beyond, a cell is 1/32 of a power of two.
 FINE = 8192
 BUCKETS = 16
 TOKEN_BUDGET = 65536
@@ -26,10 +28,9 @@ PART_ROWS = 20_000
 
 
 def cell_of(length: Column) -> Column:
-    """Upper end of the histogram cell of a length (at least GRAIN)."""
+    """Lower end of the histogram cell of a length."""
     step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 5)
-    fine = F.greatest(F.ceil(length / F.lit(float(GRAIN))) * GRAIN, F.lit(GRAIN))
-    return F.when(length <= FINE, fine).otherwise(F.ceil(length / step) * step).cast("long")
+    return F.when(length <= FINE, length).otherwise(F.floor(length / step) * step).cast("long")
 
 
 def optimal_bounds(cells: np.ndarray, rows: np.ndarray, buckets: int) -> list[int]:
@@ -72,11 +73,6 @@ def optimal_bounds(cells: np.ndarray, rows: np.ndarray, buckets: int) -> list[in
     return out[::-1]
 
 
-def word_length(text: Column) -> Column:
-    """Words of a text and one end token."""
-    return (F.size(words_of(text)) + 1).cast("long")
-
-
 def length_buckets(docs: DataFrame, keep: list[str], length: Column, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
     """Columns ``keep`` with __length, __bucket (padded length) and __batch for every row.
 
@@ -85,26 +81,26 @@ def length_buckets(docs: DataFrame, keep: list[str], length: Column, buckets: in
     counts as 0. Rows that are equal in ``keep`` and length are interchangeable.
     An empty table gives an empty result.
     """
-    sized = written(docs.select(*keep, F.coalesce(length, F.lit(0)).cast("long").alias("__length")).withColumn("__cell", cell_of(F.col("__length"))), "lengths")
-    histogram = sorted((r["__cell"], r["n"]) for r in sized.groupBy("__cell").agg(F.count("*").alias("n")).collect())
+    sized = written(docs.select(*keep, F.coalesce(length, F.lit(0)).cast("long").alias("__length")), "lengths")
+    cells = sized.groupBy(cell_of(F.col("__length")).alias("cell")).agg(F.max("__length").alias("most"), F.count("*").alias("n"))
+    histogram = sorted((r["most"], r["n"]) for r in cells.collect())
     bounds = optimal_bounds(np.array([c for c, _ in histogram], np.int64), np.array([n for _, n in histogram], np.int64), buckets)
     rows_in = {b: sum(n for c, n in histogram if lo < c <= b) for lo, b in zip([-1, *bounds], bounds)}
     bucket = F.lit(None).cast("long")
     parts = F.lit(1)
     for b in reversed(bounds):
-        bucket = F.when(F.col("__cell") <= b, F.lit(b)).otherwise(bucket)
+        bucket = F.when(F.col("__length") <= b, F.lit(b)).otherwise(bucket)
         parts = F.when(F.col("__bucket") == b, F.lit(-(-rows_in[b] // PART_ROWS))).otherwise(parts)
     dealt = sized.withColumn("__bucket", bucket.cast("long")).withColumn("__part", F.pmod(F.xxhash64(*keep, "__length"), parts.cast("long")))
     before = Window.partitionBy("__bucket").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     start = dealt.groupBy("__bucket", "__part").agg(F.count("*").alias("__n")).select("__bucket", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy("__bucket", "__part").orderBy("__length", *keep)
     numbered = dealt.withColumn("__i", F.row_number().over(within) - 1).join(start, ["__bucket", "__part"])
-    per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("__bucket")))
+    per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("__bucket"), F.lit(1))))
     return numbered.select(*keep, "__length", "__bucket", F.floor((F.col("__i") + F.col("__start")) / per_batch).cast("long").alias("__batch"))
 
 
 def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length, bucket and batch of every document."""
-    docs = table(spark, sf_dir, "documents")
-    got = length_buckets(docs, ["doc_id"], word_length(F.col("text")))
+    """BPE tokens (with one end token), bucket and batch of every document."""
+    got = length_buckets(token_lengths(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"], F.col("__n_tokens"))
     return got.select("doc_id", F.col("__length").alias("n_tokens"), F.col("__bucket").alias("bucket_length"), F.col("__batch").alias("batch"))
