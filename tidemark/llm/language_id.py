@@ -19,16 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import textkit as tk
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import small_batches, table, written
 
 WIDTHS = (2, 3, 4)
 FILTERS = 20
 WINDOW = 128
-#: Bound of the training sample: documents per language, and windows of each.
+#: Bound of the training sample: about so many documents per language, windows of each, and documents in all. Every
+#: labelled language is learned; with more than SAMPLE_ROWS / SAMPLE_DOCS of them, from fewer documents each.
 SAMPLE_DOCS = 300
 SAMPLE_WINDOWS = 6
-#: Languages beyond this many (the most frequent ones) are not learned.
-MOST_LANGS = 200
+SAMPLE_ROWS = 60_000
 EPOCHS = 6
 UNKNOWN = "und"
 
@@ -72,22 +72,46 @@ def scores(net: Network, x: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Network:
-    """Fit a network on labelled texts; the same texts in the same order give the same network."""
+def sample_windows(text: bytes) -> list[bytes]:
+    """Up to SAMPLE_WINDOWS windows of a text, evenly spread."""
+    n = max(1, -(-len(text) // WINDOW))
+    return [text[a * WINDOW : (a + 1) * WINDOW] for a in sorted({i * n // SAMPLE_WINDOWS for i in range(SAMPLE_WINDOWS)})]
+
+
+def _gradients(net: Network, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """(weighted log loss, its gradients by tables, weights and bias) for windows ``x`` with languages ``y``."""
+    pooled, where = _pooled(net, x)
+    z = pooled @ net.weights + net.bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    loss = -float((np.log(p[np.arange(len(y)), y]) * weight).sum())
+    p[np.arange(len(y)), y] -= 1
+    p *= weight[:, None]
+    back = (p @ net.weights.T) * (pooled > 0)
+    grads = []
+    for i, k in enumerate(WIDTHS):
+        g = np.zeros_like(net.tables[i])
+        own = back[:, i * FILTERS : (i + 1) * FILTERS]
+        for j in range(k):
+            np.add.at(g[j], (np.take_along_axis(x, where[i] + j, axis=1), np.arange(FILTERS)[None, :]), own)
+        grads.append(g)
+    return loss, [*grads, pooled.T @ p, p.sum(axis=0)]
+
+
+def train(windows: list[bytes], langs: list[str], seed: int = 7) -> Network:
+    """Fit a network on labelled windows of at most WINDOW bytes; the same windows in the same order give the same network."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     index = {v: i for i, v in enumerate(names)}
     xs, ys = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        b = _LOWER[np.frombuffer(text, np.uint8)]
-        for a in sorted(rng.choice(max(1, len(b) // WINDOW + 1), min(SAMPLE_WINDOWS, max(1, len(b) // WINDOW + 1)), replace=False)):
-            part = b[a * WINDOW : (a + 1) * WINDOW]
-            if len(part) > 24 and rng.random() < 0.3:  # short texts occur too
-                part = part[: rng.integers(8, len(part))]
-            x = np.full(WINDOW, 32, np.uint8)
-            x[: len(part)] = part
-            xs.append(x)
-            ys.append(index[lang])
+    for window, lang in zip(windows, langs, strict=True):
+        part = _LOWER[np.frombuffer(window[:WINDOW], np.uint8)]
+        if len(part) > 24 and rng.random() < 0.3:  # short texts occur too
+            part = part[: rng.integers(8, len(part))]
+        x = np.full(WINDOW, 32, np.uint8)
+        x[: len(part)] = part
+        xs.append(x)
+        ys.append(index[lang])
     x, y = np.stack(xs), np.array(ys)
     tables = [rng.normal(0, 0.3 / k, (k, 256, FILTERS)).astype(np.float32) for k in WIDTHS]
     weights = rng.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(names))).astype(np.float32)
@@ -100,21 +124,7 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Network:
         order = rng.permutation(len(y))
         for a in range(0, len(y), 64):
             at = order[a : a + 64]
-            pooled, where = _pooled(net, x[at])
-            z = pooled @ weights + net.bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(at)), y[at]] -= 1
-            p *= balance[y[at]][:, None] / len(at)
-            back = (p @ weights.T) * (pooled > 0)
-            grads = []
-            for i, k in enumerate(WIDTHS):
-                g = np.zeros_like(tables[i])
-                own = back[:, i * FILTERS : (i + 1) * FILTERS]
-                for j in range(k):
-                    np.add.at(g[j], (np.take_along_axis(x[at], where[i] + j, axis=1), np.arange(FILTERS)[None, :]), own)
-                grads.append(g)
-            grads += [pooled.T @ p, p.sum(axis=0)]
+            grads = _gradients(net, x[at], y[at], balance[y[at]] / len(at))[1]
             step += 1
             for q, g, mm, vv in zip(params, grads, m, v, strict=True):
                 mm += 0.1 * (g - mm)
@@ -151,19 +161,27 @@ def held_out():
 
 
 def training_sample(docs: DataFrame) -> tuple[list[bytes], list[str]]:
-    """About SAMPLE_DOCS texts of each language from documents that are not held out, chosen by a hash of the id."""
+    """Labelled windows of about SAMPLE_DOCS documents of each language that are not held out, chosen by a hash of the id.
+
+    Tasks cut the windows, so what comes to the driver is bounded in bytes too.
+    """
     able = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.col("text") != "") & ~held_out())
-    n = {r["lang"]: r["count"] for r in able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
-    if not n:
-        return [], []
-    share = F.lit(0.0)
-    for lang, count in n.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_DOCS / count))).otherwise(share)
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)
-    # a text gives whole windows from evenly spread places, never more than the network will look at
-    spread = F.col("text")
-    rows = able.where(pick).select("doc_id", "lang", spread.alias("text")).orderBy("doc_id", "text").limit(2 * SAMPLE_DOCS * len(n)).collect()
-    return [r["text"].encode() for r in rows], [r["lang"] for r in rows]
+    able = able.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    counts = written(able.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")), "languages")
+    langs = counts.count()
+    quota = max(1, min(SAMPLE_DOCS, SAMPLE_ROWS // max(langs, 1)))
+    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("n") < F.lit(quota << 30)
+    small_batches(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(d, i, x, lang) for d, lang, t in zip(*(b.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True) for i, x in enumerate(sample_windows(t.encode()))]
+            cols = zip(*rows, strict=True) if rows else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.string()), strict=True)], names=["doc_id", "place", "window", "lang"])
+
+    picked = able.join(F.broadcast(counts) if langs <= SAMPLE_ROWS else counts, F.col("lang") == F.col("of")).where(pick).select("doc_id", "lang", "text")
+    rows = sorted(picked.mapInArrow(cut, "doc_id long, place int, window binary, lang string").collect())
+    return [bytes(r["window"]) for r in rows], [r["lang"] for r in rows]
 
 
 def identify(docs: DataFrame, keep: list[str], net: Network) -> DataFrame:
@@ -186,8 +204,8 @@ def identify(docs: DataFrame, keep: list[str], net: Network) -> DataFrame:
 
 def fitted(docs: DataFrame) -> Network:
     """The network for a table with doc_id, text and lang; without labelled texts one that knows no language."""
-    texts, langs = training_sample(docs)
-    return train(texts, langs) if texts else Network([], [], np.zeros((0, 0)), np.zeros(0))
+    windows, langs = training_sample(docs)
+    return train(windows, langs) if windows else Network([], [], np.zeros((0, 0)), np.zeros(0))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
