@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from tests.llm.test_text_operators import WORD, plain_components
+from tidemark.llm import bpe
 from tidemark.llm.common import table
 
 
@@ -28,7 +29,7 @@ def test_stages(spark, sf_dir, tmp_path):
     assert not exact & set(kept["decontamination"]) and len(kept["near_duplicates"]) - len(kept["decontamination"]) < 2 * len(exact) + 3
     assert set(kept["secrets"]) == set(kept["decontamination"])
     packed = docs.collect()
-    assert sorted((r["doc_id"], r["n_tokens"]) for r in packed) == sorted((d, len(WORD.findall(t)) + 1) for d, t in kept["secrets"].items())
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in packed) == sorted((d, len(bpe.encode(t)) + 1) for d, t in kept["secrets"].items())
     sizes = collections.Counter((r["bucket_length"], r["batch"]) for r in packed)
     assert all(b * n <= 65536 or n == 1 for (b, _), n in sizes.items())
     ran = corpus_pipeline.run(spark, sf_dir)

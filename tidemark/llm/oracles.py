@@ -4,6 +4,12 @@ from __future__ import annotations
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+#: Part, whole and bounded sides of the measures of operator 1.
+_MEASURES = (
+    ("n_symbols", "word_chars", "hi"), ("n_dup_lines", "n_words", "hi"), ("n_repeat_words", "n_words", "hi"), ("n_upper", "word_chars", "hi"),
+    ("n_marks", "word_chars", "hi"), ("word_chars", "n_words", "hi lo"), ("n_words", "n_lines", "lo"),
+)
+
 OP1 = rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, row_number() OVER () AS r, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
@@ -15,28 +21,26 @@ c AS (SELECT w.*, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(w
   (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper, (length(t) - length(regexp_replace(t, '[!"#$%&()*+/<=>?@\[\\\]^_`{{|}}~]', '', 'g')))::BIGINT AS n_marks, coalesce(cov.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN cov USING (r)),
 e AS (SELECT *, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
-f AS (SELECT *, CASE WHEN word_chars > 0 THEN least(1, n_symbols / word_chars) ELSE 0 END AS a1, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS a2, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS a3,
-  CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END AS a4, CASE WHEN word_chars > 0 THEN n_marks / word_chars ELSE 0 END AS a5 FROM e),
-s AS (SELECT lang, source, unnest([(1, floor(a1 * 200)), (2, floor(a2 * 200)), (3, floor(a3 * 200)), (4, floor(a4 * 200)), (5, floor(a5 * 200))]) AS x FROM f WHERE NOT base_failed),
-k AS (SELECT lang, source, x[1] AS m, x[2] AS cell FROM s),
-own AS (SELECT lang, source, m, count(*) AS n, quantile_disc(cell, 0.25) AS lo, quantile_disc(cell, 0.5) AS mid FROM k GROUP BY 1, 2, 3),
-mrg AS (SELECT lang, m, quantile_disc(cell, 0.25) AS lo, quantile_disc(cell, 0.5) AS mid FROM k GROUP BY 1, 2),
-fen AS (SELECT own.lang, own.source, own.m, CASE WHEN own.n < 200 THEN mrg.lo ELSE own.lo END AS lo, CASE WHEN own.n < 200 THEN mrg.mid ELSE own.mid END AS mid FROM own JOIN mrg ON own.lang IS NOT DISTINCT FROM mrg.lang AND own.m = mrg.m),
-p AS (SELECT lang, source, {", ".join(f"max((mid + 4 * (mid - lo) + 1) / 200.0::DOUBLE + {s}::DOUBLE) FILTER (m = {i}) AS f{i}" for i, s in enumerate((0.05, 0.3, 0.35, 0.3, 0.08), 1))} FROM fen GROUP BY 1, 2)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"a{i} <= coalesce(f{i}, 1)" for i in range(1, 6))} AS kept
+f AS (SELECT *, {", ".join(f"greatest(({part} + 1) * 1048576 // ({whole} + 1), 1)::BIGINT AS a{i}" for i, (part, whole, _) in enumerate(_MEASURES))} FROM e),
+s AS (SELECT lang, source, unnest([{", ".join(f"{{'m': {i}, 'v': a{i}}}" for i in range(len(_MEASURES)))}]) AS x FROM f WHERE NOT base_failed),
+k AS (SELECT lang, source, x.m AS m, (x.v >> greatest(length(bin(x.v)) - 6, 0)) << greatest(length(bin(x.v)) - 6, 0) AS cell FROM s),
+{", ".join(f"{name} AS (SELECT {keys}m, count(*) AS n, ln(quantile_disc(cell, 0.5)::DOUBLE) AS mid, ln(quantile_disc(cell, 0.5)::DOUBLE) - ln(quantile_disc(cell, 0.25)::DOUBLE) AS up, ln(quantile_disc(cell, 0.75)::DOUBLE) - ln(quantile_disc(cell, 0.5)::DOUBLE) AS down FROM k GROUP BY {keys}m)" for name, keys in (("own", "lang, source, "), ("mrg", "lang, "), ("whl", "")))},
+dr AS (SELECT own.lang, own.source, own.m, {", ".join(f"(own.n * own.{c} + 50 * ((mrg.n * mrg.{c} + 50 * whl.{c}) / (mrg.n + 50))) / (own.n + 50) AS {c}" for c in ("mid", "up", "down"))}
+  FROM own JOIN mrg ON own.lang IS NOT DISTINCT FROM mrg.lang AND own.m = mrg.m JOIN whl ON own.m = whl.m),
+fen AS (SELECT lang, source, m, floor(exp(mid + 6 * greatest(up, ln(33 / 32::DOUBLE))) + 0.3::DOUBLE)::BIGINT AS hi, floor(exp(mid - 6 * greatest(down, ln(33 / 32::DOUBLE))) + 0.3::DOUBLE)::BIGINT AS lo FROM dr),
+p AS (SELECT lang, source, {", ".join(f"max({side}) FILTER (m = {i}) AS {side}{i}" for i, (_, _, sides) in enumerate(_MEASURES) for side in sides.split())} FROM fen GROUP BY 1, 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(f"a{i} {'<=' if side == 'hi' else '>='} coalesce({side}{i}, a{i})" for i, (_, _, sides) in enumerate(_MEASURES) for side in sides.split())} AS kept
 FROM f LEFT JOIN p ON f.lang IS NOT DISTINCT FROM p.lang AND f.source IS NOT DISTINCT FROM p.source"""
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
-_MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 5, 6, 8, 9))
-_SEEDS = "[" + ", ".join(f"'{m} ' || " + " || ' ' || ".join(f"t[p + {i + 1}]" for i in mask) for m, mask in enumerate(_MASKS)) + "]"
+#: Without seeds: every pair of equal tokens votes for its shift, and stretches of well-voted shifts are counted.
 OP3 = f"""
 WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id, {_TOKENS} AS t FROM benchmark WHERE text IS NOT NULL),
-ds AS (SELECT doc_id, p, unnest({_SEEDS}) AS s FROM (SELECT doc_id, t, unnest(range(len(t) - 9)) AS p FROM d)),
-bs AS (SELECT item_id, p, unnest({_SEEDS}) AS s FROM (SELECT item_id, t, unnest(range(len(t) - 9)) AS p FROM b)),
-h AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift FROM ds JOIN bs USING (s)),
-v AS (SELECT doc_id, item_id, shift, d.t AS x, b.t AS y, least(13, len(b.t)) AS n FROM h JOIN d USING (doc_id) JOIN b USING (item_id)),
-o AS (SELECT *, unnest(range(greatest(0, -shift), least(len(y), len(x) - shift) - n + 1)) AS s FROM v),
-k AS (SELECT DISTINCT doc_id, item_id FROM o WHERE list_sum(list_transform(range(n), lambda j: (x[shift + s + j + 1] = y[s + j + 1])::INT)) >= n - 2),
+dt AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS p FROM d), bt AS (SELECT item_id, unnest(t) AS w, unnest(range(len(t))) AS p FROM b),
+m AS (SELECT doc_id, item_id, dt.p - bt.p AS shift, count(*) AS c, list(bt.p) AS qs FROM dt JOIN bt USING (w) GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+v AS (SELECT m.*, len(d.t) AS x, len(b.t) AS y, least(13, len(d.t), len(b.t)) AS n FROM m JOIN d USING (doc_id) JOIN b USING (item_id)),
+o AS (SELECT *, unnest(range(greatest(0, -shift), least(y, x - shift) - n + 1)) AS s FROM v WHERE n >= 10 AND c >= n - 2),
+k AS (SELECT doc_id, item_id FROM o WHERE len(list_filter(qs, lambda j: j >= s AND j < s + n)) >= n - 2 UNION SELECT doc_id, item_id FROM v WHERE y < 10 AND c = y),
 n AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item FROM k GROUP BY 1)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, first_item FROM documents LEFT JOIN n USING (doc_id)"""
 
