@@ -70,3 +70,62 @@ def valid_manifest(refs: str = "chunks") -> Column:
     """Whether sizes are positive and ids distinct."""
     ids = F.transform(refs, lambda c: c["id"])
     return F.forall(refs, lambda c: c["size"] > 0) & (F.size(F.array_distinct(ids)) == F.size(ids))
+
+
+def retention_pass(manifests: DataFrame, objects: DataFrame, markers: DataFrame, me: str, now: Column, retain: int, retain_for: int, grace: int, current: str | None = None, stale_run: int = 3600) -> DataFrame:
+    """(kind, name, reason) of everything a retention pass of node ``me`` would delete, with its refusals as rows of kind ``refused``.
+
+    ``manifests`` are (node, stamp, name, readable, chunks as an array of ids),
+    stamps as times, null stamps being copies of the latest; ``objects`` are
+    (kind, node, stamp, id, name, mtime) of kind run (namespace and extent maps
+    of a run) or chunk; ``markers`` are (node, name, at). Times are timestamps,
+    spans are seconds.
+
+    1. Manifests of ``me`` beyond the newest ``retain`` go, if older than ``retain_for``.
+    2. Objects of its runs without a remaining manifest go, once older than ``grace``.
+    3. Chunks that no manifest of any node names go, once older than ``grace``.
+
+    Nothing goes if the listing does not show ``current``, the manifest of the
+    run itself. No chunk goes if a manifest is unreadable or there is none at
+    all, or while another node's run marker is younger than ``stale_run``; older
+    markers of others go. Objects without a time stay.
+    """
+    if retain < 1:
+        raise ValueError("a retention pass keeps at least one manifest")
+    back = lambda s: now - F.make_interval(secs=F.lit(s))
+    own = manifests.where((F.col("node") == me) & F.col("stamp").isNotNull())
+    row = lambda df, kind, name, reason: df.select(F.lit(kind).alias("kind"), name.alias("name"), F.lit(reason).alias("reason"))
+    refused = lambda df, text: df.select(F.lit("refused").alias("kind"), F.lit("").alias("name"), F.lit(text).alias("reason"))
+    if current is not None and own.where(F.col("name") == current).isEmpty():
+        return refused(manifests.sparkSession.range(1), "the listing lacks the manifest of this run")
+    gone = expired_manifests(own, retain, back(retain_for) if retain_for > 0 else F.lit("9999-12-31").cast("timestamp"))
+    kept = own.join(gone.select("name"), "name", "left_anti").select(F.col("stamp").alias("__kept"))
+    old = F.coalesce(F.col("mtime") < back(grace), F.lit(False))
+    runs = objects.where((F.col("kind") == "run") & (F.col("node") == me) & F.col("stamp").isNotNull() & old)
+    runs = runs.join(kept.distinct(), F.col("stamp") == F.col("__kept"), "left_anti")
+    others = markers.where(F.col("node") != me).withColumn("__fresh", F.coalesce(F.col("at") >= back(stale_run), F.lit(True)))
+    out = row(gone, "manifest", F.col("name"), "beyond retention").unionByName(row(runs, "run", F.col("name"), "no manifest of the run")).unionByName(row(others.where("not __fresh"), "marker", F.col("name"), "stale run"))
+    state = manifests.agg(F.count("*").alias("n"), F.count_if(~F.col("readable")).alias("bad")).crossJoin(others.agg(F.count_if("__fresh").alias("busy"))).first()
+    named = manifests.select(F.explode("chunks").alias("id")).distinct()
+    doomed = objects.where((F.col("kind") == "chunk") & old).join(named, "id", "left_anti")
+    if state["bad"] or not state["n"]:
+        return out.unionByName(refused(manifests.sparkSession.range(1), "chunks stay: a manifest is unreadable" if state["bad"] else "chunks stay: there is no manifest"))
+    if state["busy"]:
+        return out.unionByName(refused(doomed.limit(1), "chunks stay: another node has a run in progress"))
+    return out.unionByName(row(doomed, "chunk", F.col("name"), "no manifest names it"))
+
+
+def restore_plan(manifest: DataFrame, objects: DataFrame, available: int | None, margin: int = 0) -> DataFrame:
+    """(name, action) for each distinct object (name, size, sha256) of a manifest: ``copy``, or what stands against it.
+
+    ``missing``, ``size`` and ``checksum`` are told against the listing ``objects``
+    (name, size, sha256). If the whole does not fit in ``available`` bytes less
+    ``margin``, every action is ``no space``; null ``available`` is unknown and admits.
+    Of repeated names the one that sorts last counts.
+    """
+    wanted = manifest.groupBy("name").agg(F.max(F.struct("size", "sha256")).alias("w")).select("name", "w.size", "w.sha256")
+    need = wanted.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    there = objects.select("name", F.col("size").alias("__size"), F.col("sha256").alias("__sha"))
+    found = F.when(F.col("__size").isNull(), "missing").when(F.col("size") != F.col("__size"), "size").when(~F.col("sha256").eqNullSafe(F.col("__sha")), "checksum").otherwise("copy")
+    fits = available is None or available >= need + margin
+    return wanted.join(there, "name", "left").select("name", (found if fits else F.lit("no space")).alias("action"))

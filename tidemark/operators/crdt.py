@@ -66,3 +66,29 @@ def orset_gc(adds: DataFrame, tombs: DataFrame, cutoff: Column, elem: str = "ele
     """(adds, tombs, reclaimed): pairs whose removal is not after ``cutoff`` go."""
     old = tombs.where(F.col("at") <= cutoff)
     return adds.join(old.select(elem, tag), [elem, tag], "left_anti"), tombs.where(F.col("at") > cutoff), old.agg(F.count("*").alias("reclaimed"))
+
+
+def merged_inodes(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Inodes (id, type, size, acl, acl_at, lease, lease_at) of two replicas merged.
+
+    New inodes are adopted whole. Of shared ones the registers acl and lease
+    take the newer stamp, ``mine`` where stamps are equal; type and size are never
+    merged. Children, manifests and extents are merged as sets and maps of their
+    own (orset_merge, lww_union).
+    """
+    newer = lambda v, at: F.when(F.col("m.id").isNull() | (F.col(f"t.{at}").isNotNull() & (F.col(f"m.{at}").isNull() | (F.col(f"t.{at}") > F.col(f"m.{at}")))), F.col(f"t.{v}")).otherwise(F.col(f"m.{v}"))
+    own = lambda c: F.when(F.col("m.id").isNotNull(), F.col(f"m.{c}")).otherwise(F.col(f"t.{c}"))
+    both = mine.alias("m").join(theirs.alias("t"), F.col("m.id") == F.col("t.id"), "full")
+    registers = [newer(v, at).alias(c) for r, at in (("acl", "acl_at"), ("lease", "lease_at")) for v, c in ((r, r), (at, at))]
+    return both.select(F.coalesce("m.id", "t.id").alias("id"), own("type").alias("type"), own("size").alias("size"), *registers)
+
+
+def decoded_inodes(wire: DataFrame) -> DataFrame:
+    """Wire rows (id, type, children, manifest, extents, lease) with what their type has no use for set to null.
+
+    Directories (1) have children, volumes (2) extents and a lease; every other
+    type, known or not, is a file with a manifest, so decoding never fails.
+    """
+    of = lambda cond, c: F.when(cond, F.col(c)).alias(c)
+    t = F.coalesce(F.col("type"), F.lit(0))
+    return wire.select("id", "type", of(t == 1, "children"), of(~t.isin(1, 2), "manifest"), of(t == 2, "extents"), of(t == 2, "lease"))
