@@ -24,9 +24,9 @@ def allows(granted: Column, capability: Column) -> Column:
 def authorized(calls: DataFrame, needs: DataFrame, granted: str = "granted") -> DataFrame:
     """Calls (method, granted list) with allowed: methods that ``needs`` (method, capability) does not name are refused.
 
-    The map of methods is a fixed, small table.
+    The map of methods is small as a rule; Spark chooses the join by its size.
     """
-    return calls.join(F.broadcast(needs), "method", "left").withColumn("allowed", F.coalesce(F.col("capability").isNotNull() & allows(F.col(granted), F.col("capability")), F.lit(False)))
+    return calls.join(needs, "method", "left").withColumn("allowed", F.coalesce(F.col("capability").isNotNull() & allows(F.col(granted), F.col("capability")), F.lit(False)))
 
 
 def redeemed(requests: DataFrame, tokens: DataFrame, now: Column) -> DataFrame:

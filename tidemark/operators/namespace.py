@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hlc_text
+from tidemark.sources.shared import cut
 
 
 def resolved_children(claims: DataFrame) -> DataFrame:
@@ -28,38 +29,36 @@ def closure(edges: DataFrame, roots: DataFrame, most_levels: int = 64) -> DataFr
     """(node, depth) of everything reachable from ``roots`` (node) over edges (parent, child), with the least depth.
 
     Breadth first, one join per level; each level is checkpointed, and nodes
-    seen before are not followed again, so cycles end.
+    seen before are not followed again, so cycles end. A tree that is deeper than
+    ``most_levels`` is an error.
     """
     seen = roots.select("node", F.lit(0).alias("depth")).distinct()
     front = seen
-    for level in range(1, most_levels + 1):
+    for level in range(1, most_levels + 2):
         front = front.join(edges, front["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(level))
-        front = front.checkpoint() if front.sparkSession.sparkContext.getCheckpointDir() else front.cache()
+        front = cut(front)
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
     raise ValueError(f"the tree is deeper than {most_levels} levels")
 
 
-def paths(edges: DataFrame, root: str, view: str = "tidemark_edges", most_levels: int = 64) -> DataFrame:
-    """(node, path, depth) of all nodes under ``root`` over edges (parent, child, name), by a recursive query.
+def paths(edges: DataFrame, root: str, most_levels: int = 64) -> DataFrame:
+    """(node, path, depth) of all paths from ``root`` over edges (parent, child, name), one join per level.
 
-    The chain of visited nodes is carried along, so cycles end.
+    The nodes of a path are carried along until the level is done, so cycles
+    end. A path of more than ``most_levels`` steps is an error, none is left out.
     """
-    edges.createOrReplaceTempView(view)
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE walk(node, path, depth, chain) AS (
-          SELECT child, concat('/', name), 1, array(parent, child) FROM {view} WHERE parent = :root
-          UNION ALL
-          SELECT e.child, concat(w.path, '/', e.name), w.depth + 1, array_append(w.chain, e.child)
-          FROM walk w JOIN {view} e ON e.parent = w.node
-          WHERE NOT array_contains(w.chain, e.child) AND w.depth < {most_levels}
-        )
-        SELECT node, path, depth FROM walk
-        """,
-        args={"root": root},
-    )
+    spark = edges.sparkSession
+    front = spark.createDataFrame([(root, "", 0, [root])], "node string, path string, depth int, chain array<string>")
+    found = front.where("depth > 0")
+    for _ in range(most_levels + 1):
+        step = front.join(edges, front["node"] == edges["parent"]).where(~F.array_contains("chain", F.col("child")))
+        front = cut(step.select(F.col("child").alias("node"), F.concat("path", F.lit("/"), "name").alias("path"), (F.col("depth") + 1).alias("depth"), F.array_append("chain", F.col("child")).alias("chain")))
+        if front.isEmpty():
+            return found.drop("chain")
+        found = found.unionByName(front)
+    raise ValueError(f"the tree is deeper than {most_levels} levels")
 
 
 def unreachable(inodes: DataFrame, reached: DataFrame) -> DataFrame:

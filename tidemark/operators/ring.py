@@ -36,32 +36,55 @@ def replicas(keys: DataFrame, key: str, points: DataFrame, n: int, out: str = "r
     """Adds the first ``n`` distinct nodes clockwise from each key's hash (fewer if the ring has fewer).
 
     The ring is the cluster's member list times its points: its size is checked
-    before it is sent to the tasks, where keys find their place by bisection.
+    before it is broadcast (12 bytes a point) to the tasks, where a batch of keys
+    finds its places by bisection and walks on together.
     """
+    spark = keys.sparkSession
     ring = points.orderBy(unsigned_order(F.col("hash")), "node").select("hash", "node").limit(MAX_POINTS + 1).collect()
     if len(ring) > MAX_POINTS:
         raise ValueError(f"the ring has more than {MAX_POINTS} points")
-    hashes = np.array([r["hash"] for r in ring], np.int64).view(np.uint64)
-    names = [r["node"] for r in ring]
-    distinct = min(n, len(set(names)))
-    walks: list[list[str]] = []
-    for i in range(len(names)):  # the same walk for every key that lands on a point
-        found: list[str] = []
-        j = i
-        while len(found) < distinct:
-            if names[j % len(names)] not in found:
-                found.append(names[j % len(names)])
-            j += 1
-        walks.append(found)
+    names, index = np.unique(np.array([r["node"] for r in ring], dtype=object).astype(str), return_inverse=True) if ring else (np.zeros(0, str), np.zeros(0, np.int64))
+    sent = spark.sparkContext.broadcast((np.array([r["hash"] for r in ring], np.int64).view(np.uint64), index.astype(np.int32), names.astype(object)))
+    wanted = min(n, len(names))
 
     @F.pandas_udf("array<string>")
     def walk(h: pd.Series) -> pd.Series:
+        hashes, nodes, called = sent.value
         at = np.searchsorted(hashes, h.to_numpy(np.int64).view(np.uint64), "left") % max(1, len(hashes))
-        return pd.Series([walks[i] if walks else [] for i in at])
+        found = walks(at, nodes, wanted) if wanted else np.zeros((len(at), 0), np.int32)
+        return pd.Series(list(called[found]))
 
     return keys.withColumn(out, walk(fnv1a64(F.col(key))))
 
 
+def walks(at: np.ndarray, nodes: np.ndarray, n: int) -> np.ndarray:
+    """First ``n`` distinct entries of the circular array ``nodes`` (numbers from 0 without gaps) from each place of ``at``.
+
+    All places step on together; those that still lack nodes after 4 n + 64 steps
+    rank all nodes by their next place instead, so a full order costs no walk around the ring.
+    """
+    size = len(nodes)
+    found, count, open_ = np.full((len(at), n), -1, np.int32), np.zeros(len(at), np.int64), np.arange(len(at))
+    for step in range(min(4 * n + 64, size)):
+        here = nodes[(at[open_] + step) % size]
+        new = ~(found[open_] == here[:, None]).any(axis=1)
+        found[open_[new], count[open_[new]]] = here[new]
+        count[open_[new]] += 1
+        open_ = open_[count[open_] < n]
+        if not len(open_):
+            return found
+    order = np.argsort(nodes, kind="stable")
+    own = np.split(order, np.flatnonzero(np.diff(nodes[order])) + 1)  # places of each node, ascending
+    for a in range(0, len(open_), 1024):
+        part = open_[a : a + 1024]
+        ahead = np.empty((len(part), len(own)), np.int64)
+        for i, places in enumerate(own):
+            k = np.searchsorted(places, at[part])
+            ahead[:, i] = np.where(k < len(places), places[k % len(places)], places[0] + size)
+        found[part] = np.argsort(ahead, axis=1, kind="stable")[:, :n]
+    return found
+
+
 def steer(ordered: Column, n: int, pressured: Column) -> Column:
     """``n`` nodes of a ring order away from pressured ones, keeping a quorum of the natural owners.
 

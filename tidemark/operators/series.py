@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bounds of latency histograms, in seconds (fixed values).
 LATENCY_BOUNDS = (0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
@@ -112,18 +113,46 @@ def down_sample(samples: DataFrame, by: str, t: str, gap: int) -> DataFrame:
     return samples.groupBy(by).applyInPandas(fold, samples.schema)
 
 
+def previous_times(samples: DataFrame, t: str) -> DataFrame:
+    """(t, before): each distinct time (a number, date or timestamp) with the one before it, null for the first.
+
+    Times are cut in equal spans; a window finds the time before within a span,
+    and the spans' last times, one row for each, complete the first of each span.
+    """
+    times = samples.select(t).distinct()
+    parts = 4 * int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = F.col(t).cast("timestamp").cast("double") if isinstance(samples.schema[t].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) else F.col(t).cast("double")
+    span = times.agg(F.min(x).alias("lo"), ((F.max(x) - F.min(x)) / parts).alias("width"))
+    cut = times.crossJoin(F.broadcast(span)).select(t, F.when(F.col("width") > 0, F.floor((x - F.col("lo")) / F.col("width"))).otherwise(0).cast("long").alias("__span"))
+    last = cut.groupBy("__span").agg(F.max(t).alias("__last"))
+    last = last.select("__span", F.lag("__last").over(Window.orderBy("__span")).alias("__edge"))  # a row per span, of which there are ``parts`` and one
+    within = F.lag(t).over(Window.partitionBy("__span").orderBy(t))
+    return cut.withColumn("__in", within).join(F.broadcast(last), "__span").select(t, F.coalesce("__in", "__edge").alias("before"))
+
+
 def grown(samples: DataFrame, by: str, t: str, v: str) -> DataFrame:
     """(t, grown): growth of all series from one sample time to the next; shrinking, new and removed series count 0."""
-    times = samples.select(t).distinct()
-    order = times.groupBy().agg(F.sort_array(F.collect_set(t)).alias("ts")).select(F.posexplode("ts").alias("ordinal", t))
-    at = samples.join(F.broadcast(order), t)
-    w = Window.partitionBy(by).orderBy("ordinal")
-    step = at.withColumn("was", F.lag(v).over(w)).withColumn("was_at", F.lag("ordinal").over(w))
-    grew = F.when(F.col("was_at") == F.col("ordinal") - 1, F.greatest(F.col(v) - F.col("was"), F.lit(0))).otherwise(0)
+    w = Window.partitionBy(by).orderBy(t)
+    step = samples.withColumn("__was", F.lag(v).over(w)).withColumn("__at", F.lag(t).over(w)).join(previous_times(samples, t), t)
+    grew = F.when(F.col("__at") == F.col("before"), F.greatest(F.col(v) - F.col("__was"), F.lit(0))).otherwise(0)
     return step.groupBy(t).agg(F.sum(grew).alias("grown"))
 
 
+#: Names of series are broadcast up to this many (some tens of MB).
+BROADCAST_SERIES = 1_000_000
+
+
 def aligned(samples: DataFrame, t: str, series: str, v: str) -> DataFrame:
-    """Dense (t, series, v): every sampled time for every series, 0 where it was absent."""
-    grid = samples.select(t).distinct().crossJoin(F.broadcast(samples.select(series).distinct()))
+    """Dense (t, series, v): every sampled time for every series, 0 where it was absent. The whole matrix is the result."""
+    names = samples.select(series).distinct()
+    grid = samples.select(t).distinct().crossJoin(F.broadcast(names) if names.count() <= BROADCAST_SERIES else names)
     return grid.join(samples.groupBy(t, series).agg(F.max(v).alias(v)), [t, series], "left").fillna(0, [v])
+
+
+def two_tiers(samples: DataFrame, by: str, t: str, fine: tuple[int, int] = (3, 1200), coarse: tuple[int, int] = (60, 1440)) -> DataFrame:
+    """History in two grains: rows at least ``fine[0]`` apart, the newest ``fine[1]`` of each series, and before them rows at
+    least ``coarse[0]`` apart, the newest ``coarse[1]``. Adds tier; no time is in both."""
+    near = newest(down_sample(samples, by, t, fine[0]), by, t, fine[1]).withColumn("tier", F.lit("fine"))
+    start = near.groupBy(by).agg(F.min(t).alias("__start"))
+    far = newest(down_sample(samples, by, t, coarse[0]), by, t, coarse[1]).join(start, by).where(F.col(t) < F.col("__start")).drop("__start")
+    return near.unionByName(far.withColumn("tier", F.lit("coarse")).select(*near.columns))

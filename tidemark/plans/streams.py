@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hlc
 from tidemark.plans.common import micros, table
+from tidemark.sources.shared import shared_dir
 from tidemark.streaming import state as S
 
 
 def _finished(stream, schema_of):
     """Result table of a stream in complete mode, written by each micro-batch to the shared folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True)
         .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/table")).start()
