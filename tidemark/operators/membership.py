@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.levels import version_class
+
 from tidemark.functions.levels import STATES
 
 DEAD = 2
@@ -97,3 +99,29 @@ def capacity_skew(members: DataFrame) -> DataFrame:
     """One row: largest minus smallest used share of members with a capacity; 0 for fewer than two."""
     share = F.when(F.col("capacity") > 0, F.col("used") / F.col("capacity"))
     return members.agg(F.when(F.count(share) >= 2, F.max(share) - F.min(share)).otherwise(0.0).alias("skew"))
+
+
+def admitted(messages: DataFrame, me: str, ours: int, oldest: int) -> tuple[DataFrame, DataFrame]:
+    """(events, verdicts) of gossip messages (id, sender, proto, incarnation, events).
+
+    A message that bears this node's own name, or comes from a protocol under
+    ``oldest``, is dropped whole. Of the others all events are taken, and the
+    sender itself as alive. Verdicts are impersonation, too-old, newer and compatible.
+    """
+    verdict = F.when(F.col("sender") == me, "impersonation").otherwise(version_class(F.col("proto"), ours, oldest))
+    judged = messages.withColumn("verdict", verdict)
+    taken = judged.where(~F.col("verdict").isin("impersonation", "too-old"))
+    carried = taken.select(F.col("id").alias("message"), F.inline("events"))
+    own = taken.where("sender <> ''").select(F.col("id").alias("message"), F.col("sender").alias("node"), F.lit(0).alias("state"), "incarnation")
+    return carried.select("message", "node", "state", "incarnation").unionByName(own), judged.select("id", "verdict")
+
+
+def with_self(members: DataFrame, me: str) -> DataFrame:
+    """Alive members and the node itself, whatever its state; placement sees these, by id."""
+    return members.where((F.col("state") == 0) | (F.col("id") == me)).orderBy("id")
+
+
+def ring_signature(members: DataFrame) -> DataFrame:
+    """One row: ids in order with their weights above 1; changes when the ring has to be built again."""
+    each = F.concat("id", F.when(F.coalesce("weight", F.lit(1)) > 1, F.concat(F.lit(":"), F.col("weight").cast("string"))).otherwise(""), F.lit(","))
+    return members.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", each.alias("t")))), lambda x: x["t"]), "").alias("signature"))  # the member list

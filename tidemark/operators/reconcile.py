@@ -45,3 +45,38 @@ def converged(states: DataFrame, group: str) -> DataFrame:
     """One row: whether all are ok, and the least group that is not."""
     bad = F.col("state") != "ok"
     return states.agg(F.coalesce(F.bool_and(~bad), F.lit(True)).alias("converged"), F.min(F.when(bad, F.col(group))).alias("first_diverged"))
+
+
+def scrub_plan(chunks: DataFrame, live: DataFrame, incomplete: bool) -> DataFrame:
+    """Chunks (id) with action: ``heal`` those that the live set names, ``skip`` orphans, which collection owns.
+
+    With an incomplete view a chunk may only look like an orphan: all are healed then.
+    """
+    if incomplete:
+        return chunks.withColumn("action", F.lit("heal"))
+    return chunks.join(live.select("id", F.lit(True).alias("__live")).distinct(), "id", "left").withColumn("action", F.when(F.col("__live"), "heal").otherwise("skip")).drop("__live")
+
+
+def current_replicas(probes: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(volume, node, current) of probes (volume, node, attempt, known, same) and coverage (volume, node, covers).
+
+    A replica is current if its first probe agrees; else the later probes
+    settle it, the last of which counts; a failed first or last probe means no;
+    copies that still differ are current if the peer covers what was written.
+    """
+    last = probes.groupBy("volume", "node").agg(F.min_by(F.struct("known", "same"), "attempt").alias("a"), F.max_by(F.struct("known", "same"), "attempt").alias("z"), F.bool_or(F.col("known") & F.col("same")).alias("met"))
+    both = last.join(coverage.select("volume", "node", "covers"), ["volume", "node"], "left")
+    current = F.when(~F.col("a.known"), False).when(F.col("met"), True).when(~F.col("z.known"), False).otherwise(F.coalesce("covers", F.lit(False)))
+    return both.select("volume", "node", current.alias("current"))
+
+
+def copied_map(entries: DataFrame, source: str, target: str, group: str = "volume") -> DataFrame:
+    """The bindings of one volume under a new id, as a copy-on-write snapshot starts; ``target`` must not have bindings yet."""
+    if not entries.where(F.col(group) == target).isEmpty():
+        raise ValueError(f"{target} has bindings already")
+    return entries.where(F.col(group) == source).withColumn(group, F.lit(target))
+
+
+def known_volumes(maps: DataFrame, lost: DataFrame) -> DataFrame:
+    """(volume) of every volume with a map or a lost flag."""
+    return maps.select("volume").union(lost.select("volume")).distinct()

@@ -132,8 +132,40 @@ def all_findings(nodes: DataFrame, volumes: DataFrame, health: DataFrame, storag
 def degraded_reasons(volumes: DataFrame, nodes: DataFrame, factor: int) -> DataFrame:
     """(path, reason) of degraded volumes: the states of replicas that are not alive, or how many of the factor there are."""
     each = volumes.select("path", F.size("replicas").alias("n"), F.explode_outer("replicas").alias("id"))
-    state = F.concat("id", F.lit(" "), F.coalesce("state", F.lit("missing")))
+    state = F.concat(F.lit("replica on "), "id", F.lit(" "), F.coalesce("state", F.lit("unknown")))
     off = F.when(F.col("id").isNotNull() & (F.coalesce("state", F.lit("")) != "alive"), state)
     by = each.join(nodes.select("id", "state"), "id", "left").groupBy("path").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(off)).alias("off"))  # at most a replica set
-    reason = F.when(F.size("off") > 0, F.array_join("off", ", ")).otherwise(F.concat(F.greatest("n", F.lit(0)).cast("string"), F.lit(f" of {factor}")))
+    reason = F.when(F.size("off") > 0, F.array_join("off", ", ")).otherwise(F.concat(F.greatest("n", F.lit(0)).cast("string"), F.lit(f" of {factor} replicas")))
     return by.where((F.size("off") > 0) | (F.col("n") < factor)).select("path", reason.alias("reason"))
+
+
+def panel_rows(volumes: DataFrame, nodes: DataFrame, factor: int, rates: DataFrame, text: str = "", first: int | None = 8) -> DataFrame:
+    """Volumes (path, lease_holder, replicas, map_damaged) ranked for a table: damaged maps, then degraded ones with the
+    reason, then by rate (path, rate) and path. ``text`` looks in paths and holders; ``first`` None shows all.
+    """
+    found = volumes.where(F.contains(F.lower("path"), F.lit(text.strip().lower())) | F.contains(F.lower(F.coalesce("lease_holder", F.lit(""))), F.lit(text.strip().lower())))
+    rows = found.join(degraded_reasons(found, nodes, factor), "path", "left").join(rates.select("path", "rate"), "path", "left")
+    rank = F.when(F.col("map_damaged"), 2).when(F.col("reason").isNotNull(), 1).otherwise(0)
+    out = rows.select("path", rank.alias("rank"), F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("rate", F.lit(0.0)).alias("rate")).orderBy(F.desc("rank"), F.desc("rate"), "path")
+    return out if first is None else out.limit(first)
+
+
+def gauges(row: DataFrame, prefix: str, metrics: dict[str, tuple[str, str, str]], labels: dict[str, str]) -> DataFrame:
+    """Metric rows (name, kind, help, labels, value) of a one-row frame; ``metrics`` maps a name to (column, kind, help). Null values give no row."""
+    tags = F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)) if labels else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    each = F.array(*(F.struct(F.lit(f"{prefix}_{n}").alias("name"), F.lit(kind).alias("kind"), F.lit(text).alias("help"), F.col(c).cast("double").alias("value")) for n, (c, kind, text) in metrics.items()))
+    return row.select(F.explode(each).alias("m")).where("m.value is not null").select("m.name", "m.kind", "m.help", tags.alias("labels"), "m.value")
+
+
+def histogram_lines(histograms: DataFrame) -> DataFrame:
+    """Lines (name, position, line) of rows (name, labels text, bounds, counts, sum, count): cumulative buckets, +Inf last, sum, count.
+
+    ``labels`` is text like ``node="a"`` or empty.
+    """
+    tag = lambda extra: F.concat(F.lit("{"), F.array_join(F.filter(F.array("labels", extra), lambda x: x != ""), ","), F.lit("}"))
+    plain = F.when(F.col("labels") == "", "").otherwise(F.concat(F.lit("{"), "labels", F.lit("}")))
+    number = lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")
+    le = lambda b: F.concat(F.lit('le="'), F.when(b == float("inf"), F.lit("+Inf")).otherwise(number(b)), F.lit('"'))
+    buckets = F.transform(F.arrays_zip("bounds", "counts"), lambda x: F.concat("name", F.lit("_bucket"), tag(le(x["bounds"])), F.lit(" "), x["counts"].cast("string")))
+    rest = F.array(F.concat("name", F.lit("_sum"), plain, F.lit(" "), number(F.col("sum"))), F.concat("name", F.lit("_count"), plain, F.lit(" "), F.col("count").cast("string")))
+    return histograms.select("name", F.posexplode(F.concat(buckets, rest)).alias("position", "line"))

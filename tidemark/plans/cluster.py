@@ -8,6 +8,8 @@ from tidemark.functions import labels as B
 from tidemark.operators import backup as K
 from tidemark.operators import crdt as C
 from tidemark.operators import leases as S
+from tidemark.operators import membership as M
+from tidemark.operators import reconcile as N
 from tidemark.operators import report as R
 from tidemark.plans.common import table
 from tidemark.sources import extent_log as G
@@ -126,8 +128,8 @@ def degraded_reasons(spark, d):
 
 _REPLICAS = f"(SELECT path, unnest(string_split(replicas, ',')) AS id FROM {_VOLUMES} WHERE replicas <> '')"
 DEGRADED_REASONS = f"""
-SELECT path, string_agg(id || ' ' || coalesce(state, 'missing'), ', ' ORDER BY id) AS reason FROM {_REPLICAS} LEFT JOIN {_STATUS} USING (id) WHERE coalesce(state, '') <> 'alive' GROUP BY 1
-UNION ALL SELECT path, '0 of 3' FROM {_VOLUMES} WHERE replicas = ''"""
+SELECT path, string_agg('replica on ' || id || ' ' || coalesce(state, 'unknown'), ', ' ORDER BY id) AS reason FROM {_REPLICAS} LEFT JOIN {_STATUS} USING (id) WHERE coalesce(state, '') <> 'alive' GROUP BY 1
+UNION ALL SELECT path, '0 of 3 replicas' FROM {_VOLUMES} WHERE replicas = ''"""
 
 
 def all_findings(spark, d):
@@ -220,3 +222,115 @@ strftime(make_timestamp(k * 123457000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS stamp,
 [true, false, true, false, NULL, NULL][k % 6 + 1] AS switch, greatest(least(k * 3000000 - 100000, 2147483647), 0)::INTEGER AS int32, CASE WHEN k % 3 = 2 THEN 1 ELSE k % 5 END::BIGINT AS requested, CASE WHEN k % 2 = 0 THEN 'b' ELSE 'a' END AS preferred,
 CASE WHEN k % 5 BETWEEN 1 AND 3 THEN k % 5 - 1 ELSE -1 END::INTEGER AS place, CASE WHEN k % 2 = 0 THEN 'p/' ELSE '' END || p_brand AS key, 'extents/n/s/' || k || '.json' AS extent,
 CASE WHEN k % 12 = 0 THEN '' ELSE ' — ' || array_to_string(list_filter([CASE WHEN k % 3 > 0 THEN k % 3 || ' alive' END, CASE WHEN k % 2 > 0 THEN k % 2 || ' suspect' END, CASE WHEN k % 4 > 0 THEN k % 4 || ' dead' END], lambda y: y IS NOT NULL), ', ') END AS summary FROM x"""
+
+
+def panel_rows(spark, d):
+    volumes = _volumes(spark, d).withColumn("lease_holder", F.concat(F.lit("H"), (F.col("inode") % 7).cast("string")))
+    rates = table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("/v/"), "s_name").alias("path"), (F.col("s_suppkey") % 4).cast("double").alias("rate"))
+    return R.panel_rows(volumes, _members(spark, d), 3, rates, " h3", None)
+
+
+PANEL_ROWS = f"""
+SELECT path, CASE WHEN map_damaged THEN 2 WHEN reason IS NOT NULL THEN 1 ELSE 0 END AS rank, coalesce(reason, '') AS reason, CASE WHEN inode % 2 = 0 THEN inode % 4 ELSE 0 END::DOUBLE AS rate
+FROM {_VOLUMES} LEFT JOIN ({DEGRADED_REASONS}) USING (path) WHERE inode % 7 = 3"""
+
+
+def storage_gauges(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    disk = table(spark, d, "supplier").agg(F.sum(F.floor("s_acctbal")).alias("capacity"), F.count("*").alias("used"), F.lit(None).cast("long").alias("available"))
+    names = {"capacity_bytes": ("capacity", "gauge", "Bytes."), "used_bytes": ("used", "gauge", "Used."), "available_bytes": ("available", "gauge", "Free."), "chunks": ("chunks", "gauge", "Chunks.")}
+    return R.gauges(R.storage_status(part, disk), "storage", names, {"node": "n1"}).withColumn("labels", F.to_json("labels"))
+
+
+STORAGE_GAUGES = """
+WITH g(name, help, value) AS (SELECT 'storage_capacity_bytes', 'Bytes.', sum(floor(s_acctbal)) FROM supplier UNION ALL SELECT 'storage_used_bytes', 'Used.', count(*) FROM supplier UNION ALL SELECT 'storage_available_bytes', 'Free.', 0 UNION ALL SELECT 'storage_chunks', 'Chunks.', count(*) FROM part)
+SELECT name, 'gauge' AS kind, help, '{"node":"n1"}' AS labels, value::DOUBLE AS value FROM g"""
+
+
+def histogram_lines(spark, d):
+    e = table(spark, d, "events").groupBy("event_type").agg(*(F.count_if(F.col("value") <= b).alias(f"c{i}") for i, b in enumerate((1.5, 50.0))), F.count("*").alias("count"), F.sum(F.floor("value")).cast("double").alias("sum"))
+    return R.histogram_lines(e.select(F.col("event_type").alias("name"), F.when(F.col("event_type") < "m", 'node="a"').otherwise("").alias("labels"), F.array(F.lit(1.5), F.lit(50.0), F.lit(float("inf"))).alias("bounds"), F.array("c0", "c1", "count").alias("counts"), "sum", "count"))
+
+
+HISTOGRAM_LINES = """
+WITH e AS (SELECT event_type AS name, CASE WHEN event_type < 'm' THEN 'node="a"' ELSE '' END AS tag, count(*) FILTER (value <= 1.5) AS a, count(*) FILTER (value <= 50) AS b, count(*) AS n, sum(floor(value))::BIGINT AS s FROM events GROUP BY 1),
+l AS (SELECT name, unnest(range(5))::INTEGER AS position, CASE WHEN tag = '' THEN '' ELSE tag || ',' END AS t, CASE WHEN tag = '' THEN '' ELSE '{' || tag || '}' END AS p, a, b, n, s FROM e)
+SELECT name, position, CASE position WHEN 0 THEN name || '_bucket{' || t || 'le="1.5"} ' || a WHEN 1 THEN name || '_bucket{' || t || 'le="50"} ' || b WHEN 2 THEN name || '_bucket{' || t || 'le="+Inf"} ' || n WHEN 3 THEN name || '_sum' || p || ' ' || s ELSE name || '_count' || p || ' ' || n END AS line FROM l"""
+
+
+def scrub_plan(spark, d):
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    return N.scrub_plan(part, table(spark, d, "lineitem").where("l_suppkey % 5 = 0").select(F.col("l_partkey").alias("id")), False)
+
+
+SCRUB_PLAN = "SELECT p_partkey AS id, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 5 = 0) THEN 'heal' ELSE 'skip' END AS action FROM part"
+
+
+def scrub_all(spark, d):
+    """An incomplete view heals everything."""
+    return N.scrub_plan(table(spark, d, "part").select(F.col("p_partkey").alias("id")), table(spark, d, "lineitem").select(F.col("l_partkey").alias("id")), True)
+
+
+SCRUB_ALL = "SELECT p_partkey AS id, 'heal' AS action FROM part"
+
+
+def current_replicas(spark, d):
+    li = table(spark, d, "lineitem")
+    probes = li.groupBy(F.col("l_suppkey").alias("volume"), F.col("l_returnflag").alias("node"), F.col("l_linenumber").alias("attempt")).agg((F.count("*") % 7 != 0).alias("known"), (F.count("*") % 9 == 0).alias("same"))
+    covers = li.groupBy(F.col("l_suppkey").alias("volume"), F.col("l_returnflag").alias("node")).agg((F.sum("l_orderkey") % 2 == 0).alias("covers")).where("volume % 3 > 0")
+    return N.current_replicas(probes, covers)
+
+
+CURRENT_REPLICAS = """
+WITH p AS (SELECT l_suppkey AS volume, l_returnflag AS node, l_linenumber AS attempt, count(*) % 7 <> 0 AS known, count(*) % 9 = 0 AS same FROM lineitem GROUP BY 1, 2, 3),
+a AS (SELECT volume, node, arg_min(known, attempt) AS first, arg_max(known, attempt) AS last, bool_or(known AND same) AS met FROM p GROUP BY 1, 2),
+c AS (SELECT l_suppkey AS volume, l_returnflag AS node, sum(l_orderkey) % 2 = 0 AS covers FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY 1, 2)
+SELECT volume, node, first AND (met OR (last AND coalesce(covers, false))) AS current FROM a LEFT JOIN c USING (volume, node)"""
+
+
+def copied_map(spark, d):
+    maps = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("volume"), F.col("l_orderkey").alias("idx")).agg(F.max("l_partkey").alias("chunk"))
+    return N.copied_map(maps, "R", "copy")
+
+
+COPIED_MAP = "SELECT 'copy' AS volume, l_orderkey AS idx, max(l_partkey) AS chunk FROM lineitem WHERE l_returnflag = 'R' GROUP BY 2"
+
+
+def known_volumes(spark, d):
+    return N.known_volumes(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("volume")), table(spark, d, "orders").select((F.col("o_custkey") * 2).alias("volume")))
+
+
+KNOWN_VOLUMES = "SELECT l_suppkey AS volume FROM lineitem UNION SELECT o_custkey * 2 FROM orders"
+
+
+def _messages(spark, d):
+    i = F.col("event_id")
+    events = F.array(*(F.struct(F.concat(F.lit("n"), ((i + j) % 30).cast("string")).alias("node"), ((i * (j + 1)) % 3).cast("int").alias("state"), (i % 100 + j).alias("incarnation")) for j in range(3)))
+    return table(spark, d, "events").select(i.alias("id"), F.when(i % 10 == 0, "").otherwise(F.concat(F.lit("n"), (F.col("user_id") % 30).cast("string"))).alias("sender"), (i % 5).cast("int").alias("proto"), (i % 50).alias("incarnation"), events.alias("events"))
+
+
+def admitted_events(spark, d):
+    got, _ = M.admitted(_messages(spark, d), "n7", 3, 2)
+    return got.groupBy("node", "state").agg(F.count("*").alias("n"), F.max("incarnation").alias("incarnation"))
+
+
+_SENT = "(SELECT event_id AS i, CASE WHEN event_id % 10 = 0 THEN '' ELSE 'n' || user_id % 30 END AS sender, CASE event_id % 5 WHEN 0 THEN 1 ELSE event_id % 5 END AS proto FROM events)"
+ADMITTED_EVENTS = f"""
+WITH m AS (SELECT * FROM {_SENT} WHERE sender <> 'n7' AND proto >= 2),
+e AS (SELECT 'n' || (i + j) % 30 AS node, ((i * (j + 1)) % 3)::INTEGER AS state, i % 100 + j AS incarnation FROM m, range(3) r(j) UNION ALL SELECT sender, 0, i % 50 FROM m WHERE sender <> '')
+SELECT node, state, count(*) AS n, max(incarnation) AS incarnation FROM e GROUP BY 1, 2"""
+
+
+def message_verdicts(spark, d):
+    return M.admitted(_messages(spark, d), "n7", 3, 2)[1].groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+MESSAGE_VERDICTS = f"SELECT CASE WHEN sender = 'n7' THEN 'impersonation' WHEN proto < 2 THEN 'too-old' WHEN proto > 3 THEN 'newer' ELSE 'compatible' END AS verdict, count(*) AS n FROM {_SENT} GROUP BY 1"
+
+
+def ring_signature(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("id"), (F.col("n_nationkey") % 3).cast("int").alias("state"), (F.col("n_nationkey") % 4).cast("int").alias("weight"))
+    return M.ring_signature(M.with_self(n, "NATION_1"))
+
+
+RING_SIGNATURE = "SELECT string_agg(n_name || CASE WHEN n_nationkey % 4 > 1 THEN ':' || n_nationkey % 4 ELSE '' END || ',', '' ORDER BY n_name) AS signature FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey = 1"
