@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -66,13 +66,27 @@ def member_stream(events: DataFrame, local: str | None = None, suspect_ms: int =
 
 
 def upsert(path: str, keys: list[str], value: str, ts: str):
-    """foreachBatch sink that merges micro-batches into an LWW table: each batch writes the next version and then points to it."""
+    """foreachBatch sink of a last-writer-wins table: each micro-batch writes what is newest in it, under its epoch.
+
+    Nothing that is there is read or rewritten, so a batch costs what it holds;
+    an epoch that runs again replaces its own rows. ``upserted`` merges on reading.
+    """
     def sink(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.select(*keys, value, ts)
-        if epoch > 0:
-            new = new.unionByName(spark.read.parquet(f"{path}/v{epoch - 1}"))
-        merged = new.groupBy(*keys).agg(F.max(F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))).alias("w")).select(*keys, F.col("w.v").alias(value), F.col("w.t").alias(ts))
-        merged.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        _newest(batch, keys, value, ts).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return sink
+
+
+def _newest(rows: DataFrame, keys: list[str], value: str, ts: str) -> DataFrame:
+    """Newest value of each key; of equal stamps the greater value."""
+    return rows.groupBy(*keys).agg(F.max(F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))).alias("w")).select(*keys, F.col("w.v").alias(value), F.col("w.t").alias(ts))
+
+
+def upserted(spark: SparkSession, path: str, keys: list[str], value: str, ts: str) -> DataFrame:
+    """The table that ``upsert`` keeps at ``path``: epochs merged, in whatever order they came and with gaps between them."""
+    return _newest(spark.read.parquet(path).drop("epoch"), keys, value, ts)
+
+
+def compacted(spark: SparkSession, path: str, to: str, keys: list[str], value: str, ts: str) -> None:
+    """Write the merged table as epoch 0 of another path; readers and the sink move there, and the old one can go."""
+    upserted(spark, path, keys, value, ts).write.parquet(f"{to}/epoch=0")
