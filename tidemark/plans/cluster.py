@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels as B
@@ -11,6 +12,8 @@ from tidemark.operators import leases as S
 from tidemark.operators import membership as M
 from tidemark.operators import reconcile as N
 from tidemark.operators import report as R
+from tidemark.operators import runs as U
+from tidemark.operators import series as T
 from tidemark.plans.common import table
 from tidemark.sources import extent_log as G
 
@@ -334,3 +337,93 @@ def ring_signature(spark, d):
 
 
 RING_SIGNATURE = "SELECT string_agg(n_name || CASE WHEN n_nationkey % 4 > 1 THEN ':' || n_nationkey % 4 ELSE '' END || ',', '' ORDER BY n_name) AS signature FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey = 1"
+
+
+def _history(spark, d):
+    i = F.col("event_id")
+    t = i * 60
+    return table(spark, d, "events").select((F.col("user_id") % 25).alias("node"), i.alias("seq"), (i % 4 != 0).alias("ok"), t.alias("started"), (t + i % 50).alias("finished"), (i % 9).alias("uploaded"), (i % 5).alias("skipped"), (i % 1000).alias("bytes"), (i % 77).alias("chunks"), F.when(i % 11 == 0, float("nan")).otherwise(i % 40).cast("double").alias("v"))
+
+
+_HISTORY = "(SELECT user_id % 25 AS node, event_id AS seq, event_id % 4 <> 0 AS ok, event_id * 60 AS started, event_id * 60 + event_id % 50 AS finished, event_id % 9 AS uploaded, event_id % 5 AS skipped, event_id % 1000 AS bytes, event_id % 77 AS chunks, CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id % 40 END::DOUBLE AS v FROM events)"
+
+
+def run_totals(spark, d):
+    return U.run_totals(_history(spark, d), "node")
+
+
+RUN_TOTALS = f"""SELECT node, count(*) AS runs, count(*) FILTER (NOT ok) AS failures, coalesce(sum(uploaded) FILTER (ok), 0)::BIGINT AS uploaded, coalesce(sum(skipped) FILTER (ok), 0)::BIGINT AS skipped, coalesce(sum(bytes) FILTER (ok), 0)::BIGINT AS bytes,
+arg_max(finished - started, seq) AS last_duration, arg_max(ok, seq) AS last_ok, arg_max(chunks, seq) FILTER (ok) AS last_chunks, max(finished) FILTER (ok) AS last_success FROM {_HISTORY} GROUP BY 1"""
+
+
+def run_bars(spark, d):
+    return U.run_bars(_history(spark, d), "node", "seq", "v").select("node", "seq", F.round("bar", 6).alias("bar"))
+
+
+RUN_BARS = f"SELECT node, seq, round(greatest(v / greatest(max(v) OVER (PARTITION BY node), CASE WHEN max(v) OVER (PARTITION BY node) > 0 THEN 0 ELSE 1 END) * 56, 2), 6) AS bar FROM {_HISTORY}"
+
+
+def latest_ok(spark, d):
+    return U.latest_ok(_history(spark, d), "node", "seq")
+
+
+LATEST_OK = f"SELECT node, coalesce(max(i) FILTER (ok), -1)::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seq) - 1 AS i FROM {_HISTORY}) GROUP BY 1"
+
+
+def earlier_failures(spark, d):
+    shown = _history(spark, d).withColumn("__i", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("seq")))).where("__i <= 12").drop("__i")
+    runs = shown.select("node", "seq", F.when(F.col("ok"), "ok").otherwise("failed").alias("outcome"), F.timestamp_seconds("started").alias("at"))
+    return U.earlier_failures(runs, "node", "seq", "at")
+
+
+EARLIER_FAILURES = f"""
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seq DESC) AS i FROM {_HISTORY} QUALIFY i <= 12),
+g AS (SELECT node, count(*) AS n, count(*) FILTER (NOT ok AND i > 1) AS k, string_agg(strftime(make_timestamp(started * 1000000), '%H:%M'), ', ' ORDER BY seq) FILTER (NOT ok AND i > 1) AS t FROM s GROUP BY 1)
+SELECT node, CASE WHEN k = 0 THEN '' ELSE k || ' of ' || n || ' runs failed, at ' || t || '.' END AS text FROM g"""
+
+
+def capacity_limit(spark, d):
+    return U.capacity_limit(_history(spark, d).where("not isnan(v)").withColumn("t", F.col("seq") % 100), "t", "v", F.lit(5000.0))
+
+
+CAPACITY_LIMIT = f"SELECT 4000.0::DOUBLE AS \"limit\", max(s) AS peak, 4000 <= max(s) * 2 AS on_scale FROM (SELECT seq % 100 AS t, sum(v) FILTER (seq % 11 <> 0) AS s FROM {_HISTORY} GROUP BY 1)"
+
+
+def readout(spark, d):
+    return U.readout(_history(spark, d).withColumn("t", F.col("seq") % 1000).withColumn("n", F.col("chunks")), "t", "node", "n", F.lit(77))
+
+
+READOUT = f"SELECT node, max(chunks) FILTER (seq % 1000 = 77) AS value FROM {_HISTORY} GROUP BY 1"
+
+
+def manifest_order(spark, d):
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("chunk")).agg(F.min("l_linenumber").alias("tag"))
+    return U.manifest_order(li, "file", "tag", "chunk")
+
+
+MANIFEST_ORDER = "SELECT l_orderkey AS file, l_partkey AS chunk, min(l_linenumber) AS tag, (row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber), l_partkey) - 1)::INTEGER AS place FROM lineitem GROUP BY 1, 2"
+
+
+def display_rules(spark, d):
+    k = F.col("s_suppkey")
+    refs = F.array(*(F.struct(((k + j) % 2).alias("id"), (k * j).alias("size")) for j in range(3)))
+    s = table(spark, d, "supplier").withColumn("chunks", refs)
+    return s.select("s_suppkey", U.volume_notes(k % 2 == 0, k % 3 == 0).alias("notes"), U.arc(k / 80.0, 10.0, 270.0).alias("arc"), U.refs_by_id("chunks")[k % 2]["size"].alias("size"))
+
+
+DISPLAY_RULES = """SELECT s_suppkey, CASE WHEN s_suppkey % 6 = 0 THEN 'attached here, MAP DAMAGED' WHEN s_suppkey % 2 = 0 THEN 'attached here' WHEN s_suppkey % 3 = 0 THEN 'MAP DAMAGED' ELSE '—' END AS notes,
+floor(2 * 3.141592653589793::DOUBLE * 10 * 270 / 360 * least(s_suppkey / 80.0::DOUBLE, 1) * 100 + 0.5::DOUBLE) / 100 AS arc, s_suppkey * 2 AS size FROM supplier"""
+
+
+def history_tiers(spark, d):
+    """Two grains of history; SQL has the fold in tests."""
+    e = table(spark, d, "events").select((F.col("user_id") % 10).alias("node"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), "value")
+    return T.two_tiers(e.groupBy("node", "t").agg(F.max("value").alias("value")), "node", "t", (3600, 100), (14400, 60)).select("node", "t", "tier")
+
+
+_KEEP = "SELECT node, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT {0}.node, (SELECT min(e.t) FROM e WHERE e.node = {0}.node AND e.t >= {0}.t + {1}) FROM {0} WHERE {0}.t IS NOT NULL"
+HISTORY_TIERS = f"""
+WITH RECURSIVE e AS (SELECT DISTINCT user_id % 10 AS node, epoch_us(ts) // 1000000 AS t FROM events), a AS ({_KEEP.format('a', 3600)}), b AS ({_KEEP.format('b', 14400)}),
+f AS (SELECT node, t FROM a WHERE t IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node ORDER BY t DESC) <= 100),
+c AS (SELECT node, t FROM b WHERE t IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node ORDER BY t DESC) <= 60)
+SELECT node, t, 'fine' AS tier FROM f UNION ALL SELECT c.node, c.t, 'coarse' FROM c JOIN (SELECT node, min(t) AS s FROM f GROUP BY 1) m USING (node) WHERE c.t < m.s"""
