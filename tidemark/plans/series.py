@@ -142,5 +142,11 @@ STACK_PEAK = f"SELECT max(v)::BIGINT AS peak FROM (SELECT day, sum(v) AS v FROM
 
 
 def down_sampled(spark, d):
-    """An ordered fold per series, held against a brute-force fold in the tests."""
+    """An ordered fold per series."""
     return S.down_sample(_events(spark, d).select("event_id", "user_id", "t"), "user_id", "t", 7200)
+
+
+DOWN_SAMPLED = """
+WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS t FROM events),
+a AS (SELECT user_id, min(t) AS t FROM e GROUP BY 1 UNION ALL SELECT a.user_id, (SELECT min(e.t) FROM e WHERE e.user_id = a.user_id AND e.t >= a.t + 7200) FROM a WHERE a.t IS NOT NULL)
+SELECT event_id, user_id, t FROM e JOIN a USING (user_id, t)"""

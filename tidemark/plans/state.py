@@ -27,12 +27,21 @@ SELECT event_id, wall::BIGINT AS wall, row_number() OVER (PARTITION BY user_id,
 
 
 def clock_fold(spark, d):
-    """An ordered fold per node, held against a brute-force fold in the tests."""
+    """An ordered fold per node."""
     e = table(spark, d, "events")
     remote = F.col("event_type") == "click"
     return K.clock_fold(e.select(F.col("user_id").cast("string").alias("node"), F.col("event_id").alias("seq"), F.floor(micros("ts") / 3600000000).alias("phys"), F.when(remote, F.floor(micros("ts") / 3600000000) + F.col("event_id") % 3 - 1).alias("r_wall"), F.when(remote, F.col("event_id") % 10).alias("r_logical")))
 
 
+CLOCK_FOLD = """
+WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS node, event_id AS seq, epoch_us(ts) // 3600000000 AS phys, event_type = 'click' AS remote, epoch_us(ts) // 3600000000 + event_id % 3 - 1 AS r_wall, event_id % 10 AS r_logical, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT node, 0::BIGINT AS i, NULL::BIGINT AS seq, 0::BIGINT AS wall, 0::BIGINT AS logical FROM e GROUP BY 1
+UNION ALL SELECT e.node, e.i, e.seq, greatest(f.wall, e.phys, CASE WHEN remote THEN r_wall ELSE 0 END),
+CASE WHEN remote AND r_wall = f.wall AND f.wall >= e.phys THEN greatest(f.logical, r_logical) + 1 WHEN f.wall >= greatest(e.phys, CASE WHEN remote THEN r_wall ELSE 0 END) THEN f.logical + 1 WHEN remote AND r_wall >= greatest(f.wall, e.phys) THEN r_logical + 1 ELSE 0 END
+FROM f JOIN e ON e.node = f.node AND e.i = f.i + 1)
+SELECT node, seq, wall, logical FROM f WHERE i > 0"""
+
+
 def _skews(spark, d):
     e = table(spark, d, "events")
     return e.select(F.col("event_type").alias("observer"), F.col("user_id").cast("string").alias("peer"), F.floor(micros("ts") / 1000000).cast("long").alias("t"), (F.col("value") * 10 - 500).cast("long").alias("skew_ms"))
@@ -48,10 +57,17 @@ SELECT peer, arg_max(skew_ms, t) AS skew_ms, max(t) AS t FROM s GROUP BY 1 HAVIN
 
 
 def skew_alerts(spark, d):
-    """A rate-limited fold per observer, held against a brute-force fold in the tests."""
+    """A rate-limited fold per observer."""
     return K.skew_alerts(_skews(spark, d), 500, 6 * 3600)
 
 
+SKEW_ALERTS = """
+WITH RECURSIVE s AS (SELECT event_type AS observer, user_id::VARCHAR AS peer, epoch_us(ts) // 1000000 AS t, trunc(value * 10 - 500)::BIGINT AS skew_ms FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY observer ORDER BY t, peer) AS i FROM s WHERE skew_ms > 500),
+a AS (SELECT observer, 1::BIGINT AS i FROM o GROUP BY 1 UNION ALL SELECT a.observer, (SELECT min(n.i) FROM o n, o h WHERE h.observer = a.observer AND h.i = a.i AND n.observer = a.observer AND n.t >= h.t + 21600) FROM a WHERE a.i IS NOT NULL)
+SELECT observer, peer, t, skew_ms FROM o JOIN a USING (observer, i)"""
+
+
 def lease_intervals(spark, d):
     leases = table(spark, d, "events").where("event_type = 'signup'").withColumn("volume", F.col("user_id") % 10)
     return K.lease_intervals(leases, "volume", "ts", "user_id").select("volume", "user_id", "from_ts", "until_ts")
