@@ -23,6 +23,8 @@ MASKS = (
 )
 LONG_MASKS = 2
 SPAN = 10
+#: What stands between tokens.
+BREAK = r"[^\p{L}\p{N}]+"
 WINDOW = 13
 AGREE = 11
 #: Items under SPAN tokens match whole; shorter ones than this are turns of speech that stand in clean texts, and match nothing.
@@ -37,23 +39,36 @@ BROADCAST_HITS = 200_000
 
 def tokens(text: Column) -> Column:
     """64-bit hashes of the lower-cased runs of letters and digits, in order; none for a null."""
-    parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
     return F.transform(parts, lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, arr: str, pos: str, keep: list[str], every: bool) -> DataFrame:
-    """Columns ``keep`` once per window of SPAN tokens and mask, with ``pos`` (its first token) and ``seed``.
+def _seeds(df: DataFrame, arr: str, pos: str, keep: list[str], masks: int = len(MASKS)) -> DataFrame:
+    """Columns ``keep`` once per window of SPAN tokens and each of the first ``masks`` masks, with ``pos`` (its first token) and ``seed``.
 
-    Arrays of WINDOW tokens or more have seeds of the first LONG_MASKS only, unless ``every`` mask is asked for.
     The token array stays behind: rows after the explode are a few words wide,
     however long the text.
     """
     n = F.size(arr)
     at = df.select(*keep, arr, F.explode(F.when(n >= SPAN, F.sequence(F.lit(0), F.greatest(n - SPAN, F.lit(0)))).otherwise(F.array().cast("array<int>"))).alias(pos))
-    seeds = [F.xxhash64(F.lit(m), *(F.get(arr, F.col(pos) + p) for p in mask)) for m, mask in enumerate(MASKS)]
-    those = F.array(*seeds) if every else F.when(n < WINDOW, F.array(*seeds)).otherwise(F.array(*seeds[:LONG_MASKS]))
-    each = at.select(*keep, pos, those.alias("seeds"))
-    return each.select(*keep, pos, F.explode("seeds").alias("seed"))
+    seeds = [F.xxhash64(F.lit(m), *(F.get(arr, F.col(pos) + p) for p in mask)) for m, mask in enumerate(MASKS[:masks])]
+    return at.select(*keep, pos, F.array(*seeds).alias("seeds")).select(*keep, pos, F.explode("seeds").alias("seed"))
+
+
+def _text_seeds(docs: DataFrame, every: bool) -> DataFrame:
+    """(doc_id, row, p, seed) of the texts: the first LONG_MASKS masks for texts of WINDOW tokens or more, all for shorter
+    ones, or for all texts if ``every`` is asked for.
+
+    Short texts are a branch of their own, so that the code of the long ones
+    stays small enough for the JVM to compile; they are told by a split that stops early.
+    """
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    tokened = lambda df: df.select("doc_id", "row", tokens(F.col("text")).alias("doc"))
+    if every:
+        return _seeds(tokened(texts), "doc", "p", ["doc_id", "row"])
+    few = F.size(F.split(F.lower("text"), BREAK, WINDOW + 2)) < WINDOW + 2  # holds for every text under WINDOW tokens
+    brief = tokened(texts.where(few)).where(F.size("doc") < WINDOW)
+    return _seeds(tokened(texts).where(F.size("doc") >= WINDOW), "doc", "p", ["doc_id", "row"], LONG_MASKS).unionByName(_seeds(brief, "doc", "p", ["doc_id", "row"]))
 
 
 def _whole(texts: DataFrame, items: DataFrame, shortest: int) -> DataFrame:
@@ -78,11 +93,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) ->
     repeated rows are one document.
     """
     items = written(benchmark.where("text is not null").select("item_id", F.xxhash64("text").alias("item_row"), tokens(F.col("text")).alias("item")).distinct(), "items")
-    seeds = written(_seeds(items, "item", "q", ["item_id", "item_row"], True).withColumnRenamed("seed", "item_seed"), "seeds")
+    seeds = written(_seeds(items, "item", "q", ["item_id", "item_row"]).withColumnRenamed("seed", "item_seed"), "seeds")
     small = seeds.count() <= BROADCAST_SEEDS
     short = not items.where(F.size("item").between(SPAN, WINDOW - 1)).isEmpty()  # these meet long texts in short stretches
     texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("doc"))
-    hits = _seeds(texts, "doc", "p", ["doc_id", "row"], short).join(F.broadcast(seeds) if small else seeds, F.col("seed") == F.col("item_seed"))
+    hits = _text_seeds(docs, short).join(F.broadcast(seeds) if small else seeds, F.col("seed") == F.col("item_seed"))
     shifts = hits.select("doc_id", "row", "item_id", "item_row", (F.col("p") - F.col("q")).alias("shift")).distinct()
     found = written(shifts.join(items, ["item_id", "item_row"]).groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "shift", "item")).alias("hits")), "hits")
     found = found.withColumnsRenamed({"doc_id": "__d", "row": "__r"})
