@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import inspect
 
-from tidemark.plans import access, cluster, placement, scalars, series, state, storage, streams
+from tidemark.plans import access, cluster, files, placement, scalars, series, state, storage, streams
 
 FLAGSHIP = "gc_sweep"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (storage, placement, state, series, scalars, access, cluster, streams):
+for _module in (storage, placement, state, series, scalars, access, cluster, files, streams):
     for _name, _f in list(vars(_module).items()):
         if inspect.isfunction(_f) and _f.__module__ == _module.__name__ and not _name.startswith("_"):
             QUERIES[_name] = _f
